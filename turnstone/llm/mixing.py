@@ -85,26 +85,28 @@ def _fold(units: Column, level: int, seed: int) -> Column:
 
 
 def pivotal_round(units: DataFrame, seed: int, biggest: int, block: int = BLOCK) -> DataFrame:
-    """key, up (0 or 1) of units (source, key, p, w) with p in (0, 1) and w over 0.
+    """source, key, up (0 or 1) of units (source, n, key, p, w) with p in (0, 1) and w over 0.
 
-    ``key`` is unique within a source; ``biggest`` is the number of units of the largest source.
+    ``n`` is the number of units of the source or more, ``biggest`` the largest n.  Rows of equal
+    source and key are one unit of their joint weight.
     """
-    done = []
-    level, now, at_most = 0, units, biggest
+    done, level, size, now = [], 0, block, units
     while True:
-        blocks = max(1, -(-at_most // block))
-        place = F.pmod(F.xxhash64("key", F.lit(level), F.lit(seed)), F.lit(blocks)).alias("b")
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / size))
+        now = now.withColumn("b", F.pmod(F.xxhash64("key", F.lit(level), F.lit(seed)), blocks))
+        # one shuffle: both aggregations find their rows together
+        now = now.repartition("source", "b").groupBy("source", "b", "key").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sum("w").alias("w"))
         # heavy units first: what stays fractional is light
         listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "key", "p", "w"))), lambda u: F.struct(u["key"].alias("key"), u["p"].alias("p"), u["w"].alias("w")))
-        folded = now.groupBy("source", place).agg(_fold(listed, level, seed).alias("f"))
-        folded = keep(folded.select("source", "f"), f"pivotal-{level}")
+        folded = now.groupBy("source", "b").agg(F.first("n").alias("n"), listed.alias("u")).select("source", "n", _fold(F.col("u"), level, seed).alias("f"))
+        folded = keep(folded, f"pivotal-{level}")
         done.append(folded.select("source", F.explode("f.done").alias("u")).select("source", "u.key", F.round("u.p").cast("int").alias("up")))
-        now = folded.where("f.left is not null").select("source", "f.left.key", "f.left.p", "f.left.w")
-        if blocks == 1:
+        now = folded.where("f.left is not null").select("source", "n", "f.left.key", "f.left.p", "f.left.w")
+        if size >= biggest:
             last = _uniform(F.col("key"), F.lit(level + 1), F.lit(seed)) < F.col("p")
             done.append(now.select("source", "key", last.cast("int").alias("up")))
             break
-        level, at_most = level + 1, blocks
+        level, size = level + 1, size * block
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -124,7 +126,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = keep(sizes, "source-sizes")
     totals = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("biggest")).first()
-    targets = keep(source_targets(sizes.select("source", "source_size")), "targets")
+    targets = source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    targets = keep(targets, "targets")
     named = targets.withColumn("skey", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))).withColumnRenamed("source", "named")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     named = named.withColumn("r", ratio)
@@ -134,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.col("r") - F.floor("r")
     part = F.when(part < 1e-12, F.lit(0.0)).when(part > 1 - 1e-12, F.lit(1.0)).otherwise(part)
     placed = placed.withColumn("part", part).withColumn("key", F.xxhash64(F.col("doc_id"), F.col("size"), F.col("skey")))
-    units = placed.where("part > 0 and part < 1 and size > 0").groupBy(F.col("skey").alias("source"), "key").agg(F.first("part").alias("p"), F.sum("size").cast("double").alias("w"))
+    units = placed.where("part > 0 and part < 1 and size > 0").select(F.col("skey").alias("source"), "n", "key", F.col("part").alias("p"), F.col("size").cast("double").alias("w"))
     rounded = pivotal_round(units, seed, totals.biggest or 0)
     whole = F.when(F.col("size") > 0, F.floor("r") + F.when(F.col("part") >= 1, 1).otherwise(F.coalesce("up", F.lit(0)))).otherwise(0)
     rounded = rounded.select(F.col("source").alias("skey"), "key", "up")
