@@ -7,9 +7,10 @@ languages over the words of a text, where each switch costs PENALTY, labels span
 text's language is the one that it begins and ends in, if that is one (what stands between is then a
 passage in another language); else the one with the most letters.
 
-One language throughout is the best sequence, and needs no search, if it has the largest sum of scores
-and no other gains more than half a switch over it in any run of words (then n excursions gain at most
-n / 2 switches, and cost at least n - 1 switches and at least one).  This is tested with sums alone.
+The language with the largest sum of scores is the best sequence throughout, and needs no search, if no
+excursion pays: let the others change among themselves for nothing and take the best of them at each word;
+if no run of words then gains more than the two switches that it costs, and none at the beginning or the
+end more than one, staying is best.  This is tested with sums alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import bound_batches, labelled_sample, split_column
 
 PENALTY, WORST = 10.0, -6.0
-GRAMS, SMOOTH = (1, 2, 3), 0.5
+GRAMS, SMOOTH = (2, 3), 0.5
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
 KEPT_WORDS = 400_000
 SPLIT, HELD = 5, 0
@@ -52,8 +53,14 @@ def script(word: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
+def lowered(text: str) -> str:
+    """Lower case, unless that moves characters: then the words' places would be lost."""
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
 def grams(word: str) -> list[str]:
-    marked = f"<{word.lower()}>"
+    marked = f"<{word}>"
     return [marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)]
 
 
@@ -63,7 +70,7 @@ class LanguageModel:
     def __init__(self, sample: list[tuple[str, str]]):
         words: dict[str, Counter] = defaultdict(Counter)
         for text, lang in sample:
-            words[lang].update(WORDS.findall(text))
+            words[lang].update(WORDS.findall(lowered(text)))
         self.langs = sorted(words)
         counts = [Counter() for _ in self.langs]
         uses: dict[str, Counter] = defaultdict(Counter)
@@ -127,7 +134,7 @@ class LanguageModel:
         """For each text (language, score, spans); spans are character ranges that cover it from its first word on."""
         if not self.langs:
             return [("und", 0.0, []) for _ in texts]
-        words = [WORDS.findall(t or "") for t in texts]
+        words = [WORDS.findall(lowered(t or "")) for t in texts]
         self.learn(set().union(*words))
         return [self._label(t, w) for t, w in zip(texts, words)]
 
@@ -136,9 +143,7 @@ class LanguageModel:
             return "und", 0.0, []
         scores = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
         best = int(scores.sum(axis=0, dtype=np.float64).argmax())
-        gains = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-        lows = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, gains.shape[1])), gains[:-1]]), axis=0), 0)
-        if (gains - lows).max() <= PENALTY / 2:
+        if stays_best(scores, best, PENALTY):
             path = None
         else:
             path = viterbi(scores.tolist(), PENALTY)
@@ -153,14 +158,24 @@ class LanguageModel:
 
     def _spans(self, text: str, path: np.ndarray | None, best: int) -> list[tuple[int, int, str]]:
         if path is None:
-            first = WORDS.search(text).start()
+            first = WORDS.search(lowered(text)).start()
             return [(first, len(text), self.langs[best])]
-        starts = [m.start() for m in WORDS.finditer(text)]
+        starts = [m.start() for m in WORDS.finditer(lowered(text))]
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
         ends = [starts[c] for c in cuts[1:]] + [len(text)]
         return [(starts[c], end, self.langs[path[c]]) for c, end in zip(cuts, ends)]
 
 
+def stays_best(scores: np.ndarray, best: int, penalty: float) -> bool:
+    """True only if staying in one state is the best sequence; see above."""
+    if scores.shape[1] == 1:
+        return True
+    others = np.delete(scores, best, axis=1).max(axis=1)
+    sums = np.concatenate([[0.0], np.cumsum(others - scores[:, best], dtype=np.float64)])
+    lows = np.minimum.accumulate(sums)
+    return sums.max() <= penalty and sums[-1] - lows[-1] <= penalty and (sums - lows).max() <= 2 * penalty
+
+
 def viterbi(scores: list[list[float]], penalty: float) -> np.ndarray:
     """The best sequence of states; each switch costs ``penalty``.  Of equal ones the lowest state."""
     value, back = list(scores[0]), []
