@@ -22,6 +22,7 @@ PAD = 256  # the symbol that stands for no byte
 SLAB = HALF * 512
 SAMPLE_ROWS, SAMPLE_BYTES = 2400, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
 EPOCHS, BATCH, RATE = 14, 48, 0.01
+LEAST_STEPS = 500  # small samples are gone over more often
 THRESHOLD, SPLIT, HELD = 0.7, 4, 2
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -86,6 +87,7 @@ class ByteNet:
         params = [self.tables, self.bias, self.weights, self.offset]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         step = 0
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(data)))) if data else 0
         for epoch in range(epochs):
             order = rng.permutation(len(data))
             for at in range(0, len(order), BATCH):

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import Memo, bound_batches, labelled_sample, split_column
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
-PASSAGE = 4
+PASSAGE = 2
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
 EPOCHS, BATCH, RATE = 12, 64, 0.15
+LEAST_STEPS = 600  # small samples are gone over more often
 THRESHOLD, SPLIT, HELD = 0.3, 4, 2
 WORDS = re.compile(r"\w+")
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -114,6 +115,7 @@ class SubwordBag:
         lift = (1.0, min(4.0, max(1.0, (len(texts) - positive) / positive)))
         seen, seen_w, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
         slot = np.zeros(len(bags), np.int64)
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))
         for epoch in range(epochs):
             order, rate = rng.permutation(len(texts)), RATE * (1 - 0.8 * epoch / epochs)
             for at in range(0, len(order), BATCH):
