@@ -15,8 +15,11 @@ ascending id order, and the rows of the segment table carry the order of the seg
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -37,38 +40,188 @@ SEGMENTS = "part int, segment int, first_id long, n_docs long, n_ids long, doc_i
 READ = "part int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary"
 
 
-class Encoder:
-    """Ids of texts, each word (between spaces or line ends) encoded once.
+# The pre-tokenizer that `Pieces` follows, for texts of characters below U+0250 without apostrophes;
+# the numbers and white space among these (all other letters and digits by Unicode category).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LIMIT, SPACES = 0x250, "\t\n\x0b\x0c\r \x85\xa0"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+GROUP_CHARS, KEPT_PIECES, KEPT_IDS = 1 << 19, 800_000, 4_000_000
+
+
+def _kind(c: str) -> int:
+    if c in SPACES:
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c.lower()[0])[0], OTHER)
+
 
-    No token of a whitespace-dropping pre-tokenizer crosses a space or a line end, so the ids of a
-    text are those of its words, one after the other.
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Pieces:
+    """Cuts many texts at once with numpy, and knows the ids of each piece by two 64-bit hashes.
+
+    The hashes are polynomials over the lower-case characters, taken from prefix sums; the table is
+    open-addressed and starts anew when it is full.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, encode):
+        self.encode = encode  # pieces to (flat ids, where each piece's ids begin)
+        chars = [chr(c) for c in range(LIMIT)]
+        self.kind = np.array([_kind(c) for c in chars], np.uint8)
+        self.lower = np.array([ord(c.lower()[0]) for c in chars], np.uint32)
+        size = 2 * GROUP_CHARS
+        self.powers = [(_powers(m, size), _powers(pow(m, -1, 1 << 64), size)) for m in MULTIPLIERS]
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << (2 * KEPT_PIECES - 1).bit_length()
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros((2, size), np.uint64)
+        self.at, self.count = np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.ids, self.used, self.known = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash pair, or the empty slot where the search ended; and which were found."""
+        slot = (h[0] & self.mask).astype(np.int64)
+        found = np.zeros(h.shape[1], bool)
+        todo = np.arange(h.shape[1])
+        while len(todo):
+            s = slot[todo]
+            key = self.keys[0, s]
+            hit = (key == h[0, todo]) & (self.keys[1, s] == h[1, todo])
+            found[todo[hit]] = True
+            todo = todo[~hit & (key != 0)]
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+        return slot, found
+
+    def _add(self, h: np.ndarray, pieces: list[str]) -> None:
+        """Distinct new pieces and their hashes."""
+        flat, begins = self.encode(pieces)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        counts = np.diff(np.append(begins, len(flat)))
+        todo, slot = np.arange(len(pieces)), (h[0] & self.mask).astype(np.int64)
+        while len(todo):
+            s = slot[todo]
+            free = self.keys[0, s] == 0
+            first = np.zeros(len(todo), bool)
+            first[np.flatnonzero(free)[np.unique(s[free], return_index=True)[1]]] = True  # one piece to a free slot
+            mine, put = todo[first], s[first]
+            self.keys[:, put] = h[:, mine]
+            self.at[put], self.count[put] = begins[mine] + self.used, counts[mine]
+            todo = todo[~first]
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+        self.used += len(flat)
+        self.known += len(pieces)
+
+    def cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; all their characters are below LIMIT and they have no apostrophe."""
+        lengths = np.array([len(t) + 1 for t in texts])
+        chars = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), "<u4")
+        kind, low = self.kind[chars], self.lower[chars]
+        change = np.empty(len(kind) + 1, bool)
+        change[0] = change[-1] = True
+        np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+        number, solid = kind == NUMBER, kind != SPACE
+        starts = np.flatnonzero((change[:-1] | number) & solid)
+        ends = np.flatnonzero((change[1:] | number) & solid) + 1
+        value = low.astype(np.uint64) + np.uint64(1)
+        hashes = np.empty((2, len(starts)), np.uint64)
+        for k, (power, inverse) in enumerate(self.powers):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(value)], dtype=np.uint64)])
+            h = (sums[ends] - sums[starts]) * inverse[starts]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(MULTIPLIERS[1 - k])
+            hashes[k] = h ^ (h >> np.uint64(32))
+        hashes[0] |= (hashes[0] == 0).astype(np.uint64)  # zero marks an empty slot
+        slot, found = self._find(hashes)
+        missing, text = np.flatnonzero(~found), None
+        while len(missing):
+            new = missing[np.unique(hashes[0, missing], return_index=True)[1]]
+            if self.known + len(new) > KEPT_PIECES or self.used > KEPT_IDS:
+                self.clear()
+                missing = np.arange(len(starts))
+                new = np.unique(hashes[0], return_index=True)[1]
+            text = text or low.tobytes().decode("utf-32-le")
+            self._add(hashes[:, new], [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            slot[missing], found = self._find(hashes[:, missing])
+            missing = missing[~found]
+        counts = self.count[slot].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        raw = self.ids[np.repeat(self.at[slot] - total[:-1], counts) + np.arange(total[-1])].tobytes()
+        cuts = (4 * total[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self.solve)
 
-    def solve(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+class Encoder:
+    """Ids of texts; each distinct piece of text is encoded once.
 
-    def learn(self, words: set[str]) -> None:
-        """Encode what isn't known yet in one call."""
-        known = self.words
-        new = [w for w in words if w not in known and w not in known.old and len(w) <= known.longest]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                if len(known) >= known.size:
-                    known.old = dict(known)
-                    known.clear()
-                known[word] = np.array(found.ids, "<u4").tobytes()
+    Of a tokenizer that normalises to NFC and lower case and cuts by SPLIT, plain texts are cut by `Pieces`,
+    whose new pieces go to the bare BPE model in batches.  All others are cut at spaces and line ends, which
+    no token crosses, and each distinct word goes to the whole tokenizer.
+    """
 
-    def encode(self, text: str, end_id: int | None = END_ID) -> bytes:
-        out = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-        return out if end_id is None else out + struct.pack("<I", end_id)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.words = Memo(self._word, size=100_000)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        self.cuts_here = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT}
+        self.beyond = re.compile(f"[{chr(LIMIT)}-\U0010ffff'\u0130]").search  # U+0130 becomes two characters in lower case
+        if self.cuts_here:
+            self.bare = Tokenizer(self.whole.model)
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.last = np.zeros(self.whole.get_vocab_size(), bool)
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            self.pieces = Pieces(self._pieces)
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.array(self.bare.encode_batch_fast([pieces[k : k + 4000]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4") for k in range(0, len(pieces), 4000)]
+        flat = np.concatenate(parts)
+        ends = np.flatnonzero(self.last[flat]) + 1  # the last token of a piece carries the word end
+        if len(ends) != len(pieces) or ends[-1] != len(flat):
+            raise AssertionError("pieces and word ends differ")
+        return flat, np.concatenate([[0], ends[:-1]])
+
+    def plain(self, text: str) -> bool:
+        return self.cuts_here and len(text) < GROUP_CHARS and not any(m in text for m in self.marks) and not self.beyond(text)
+
+    def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers; a null text counts as empty."""
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        out: list[bytes] = [b""] * len(texts)
+        group, held = [], 0
+
+        def settle():
+            for k, ids in zip(group, self.pieces.cut([texts[k] for k in group])):
+                out[k] = ids + end
+
+        for k, text in enumerate(texts):
+            if not text or not self.plain(text):
+                out[k] = b"".join([*map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
+                continue
+            if held + len(text) + 1 > GROUP_CHARS and group:
+                settle()
+                group, held = [], 0
+            group.append(k)
+            held += len(text) + 1
+        if group:
+            settle()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -77,12 +230,19 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS texts of at most SAMPLE_CHARS characters: those with the smallest hashes."""
+    """A dictionary from the texts of at most SAMPLE_DOCS ids, those with the smallest hashes, if they have at most SAMPLE_CHARS characters.
+
+    The hashes are found in a scan of the ids alone.  Without ids there is no dictionary.
+    """
     import zstandard
 
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
-    sample = [r.t for r in texts.orderBy(F.xxhash64("t"), "t").limit(SAMPLE_DOCS).collect()]
-    ids = [encoder(tokenizer_path).encode(t) for t in sample]
+    hashed = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    least = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first().h
+    if least is None:
+        return b""
+    short = hashed.where((F.col("h") <= least) & F.length("t").between(1, SAMPLE_CHARS))
+    sample = [r.t for r in short.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
+    ids = encoder(tokenizer_path).encode(sample)
     if sum(map(len, ids)) < 16 * DICTIONARY_BYTES:
         return b"".join(ids)[-DICTIONARY_BYTES:]  # too little to train on: the ids themselves, as a raw dictionary
     return zstandard.train_dictionary(DICTIONARY_BYTES, ids, level=LEVEL).as_bytes()
@@ -115,10 +275,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_c
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([known], pa.binary()), pa.array([content], pa.binary())], names=["part", "segment", "first_id", "n_docs", "n_ids", "doc_ids", "content"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            encode.learn(set().union(*(t.replace("\n", " ").split(" ") for t in texts)))
-            for i, text, part in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                raw = encode.encode(text)
+            for i, raw, part in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
                 frame = pack.compress(raw)
                 index.append(struct.pack(ENTRY, HEAD_SIZE + size, len(frame), len(raw) // 4))
                 frames.append(frame)
