@@ -83,6 +83,16 @@ def test_pieces_equal_the_library(tokenizer):
         assert encode.encode(texts) == wanted
 
 
+def test_pieces_start_anew_when_full(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 300)
+    monkeypatch.setattr(token_files, "GROUP_CHARS", 400)
+    encode, rnd = token_files.Encoder(WORDS), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("abé1.") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 60))) for _ in range(12)]
+        wanted = [np.array([*e.ids, 1], "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encode.encode(texts) == wanted
+
+
 def brute_force(rows, tokenizer):
     out, start = [], 0
     for doc_id, text in rows:

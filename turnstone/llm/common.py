@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +16,37 @@ HOT_SHARE = 0.001
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
+@lru_cache(maxsize=1)
+def _private_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="turnstone-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     Read from ``spark.checkpoint.dir``; a private one is made only where that is unset, as in tests.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="turnstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _private_dir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and survives a lost executor."""
+#: Rows of a small table that go to one file.
+ROWS_PER_FILE = 40_000
+
+
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, and survives a lost executor.
+
+    ``rows`` is a bound on the number of rows, where one is known: a small table then goes to few
+    files, however many partitions it comes from.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

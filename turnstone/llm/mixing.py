@@ -84,10 +84,10 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
-def pivotal_round(units: DataFrame, seed: int, biggest: int, block: int = BLOCK) -> DataFrame:
+def pivotal_round(units: DataFrame, seed: int, biggest: int, at_most: int, block: int = BLOCK) -> DataFrame:
     """source, key, up (0 or 1) of units (source, n, key, p, w) with p in (0, 1) and w over 0.
 
-    ``n`` is the number of units of the source or more, ``biggest`` the largest n.  Rows of equal
+    ``n`` is the number of units of the source or more, ``biggest`` the largest n, ``at_most`` their sum.  Rows of equal
     source and key are one unit of their joint weight.
     """
     done, level, size, now = [], 0, block, units
@@ -99,14 +99,14 @@ def pivotal_round(units: DataFrame, seed: int, biggest: int, block: int = BLOCK)
         # heavy units first: what stays fractional is light
         listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "key", "p", "w"))), lambda u: F.struct(u["key"].alias("key"), u["p"].alias("p"), u["w"].alias("w")))
         folded = now.groupBy("source", "b").agg(F.first("n").alias("n"), listed.alias("u")).select("source", "n", _fold(F.col("u"), level, seed).alias("f"))
-        folded = keep(folded, f"pivotal-{level}")
+        folded = keep(folded, f"pivotal-{level}", at_most)
         done.append(folded.select("source", F.explode("f.done").alias("u")).select("source", "u.key", F.round("u.p").cast("int").alias("up")))
         now = folded.where("f.left is not null").select("source", "n", "f.left.key", "f.left.p", "f.left.w")
         if size >= biggest:
             last = _uniform(F.col("key"), F.lit(level + 1), F.lit(seed)) < F.col("p")
             done.append(now.select("source", "key", last.cast("int").alias("up")))
             break
-        level, size = level + 1, size * block
+        level, size, at_most = level + 1, size * block, at_most // block
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.when(part < 1e-12, F.lit(0.0)).when(part > 1 - 1e-12, F.lit(1.0)).otherwise(part)
     placed = placed.withColumn("part", part).withColumn("key", F.xxhash64(F.col("doc_id"), F.col("size"), F.col("skey")))
     units = placed.where("part > 0 and part < 1 and size > 0").select(F.col("skey").alias("source"), "n", "key", F.col("part").alias("p"), F.col("size").cast("double").alias("w"))
-    rounded = pivotal_round(units, seed, totals.biggest or 0)
+    rounded = pivotal_round(units, seed, totals.biggest or 0, totals.n or 0)
     whole = F.when(F.col("size") > 0, F.floor("r") + F.when(F.col("part") >= 1, 1).otherwise(F.coalesce("up", F.lit(0)))).otherwise(0)
     rounded = rounded.select(F.col("source").alias("skey"), "key", "up")
     out = placed.join(rounded, ["skey", "key"], "left").withColumn("copies", whole.cast("int"))
@@ -148,6 +148,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself: each row as often as it is taken, with its columns as they were."""
     copies = mix(docs, id_col, text_col, source_col, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
-    copies = keep(copies.withColumnRenamed("copies", "__copies"), "copies")
+    copies = keep(copies.withColumnRenamed("copies", "__copies"), "copies", docs.count())
     found = docs.join(copies, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")) & (words(docs[text_col].cast("string")) == F.col("__size")))
     return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*(docs[c] for c in docs.columns))

@@ -111,15 +111,15 @@ def _near(a, b) -> Column:
     return (largest_difference(a, b) <= RADIUS) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= RADIUS)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """a, b: links between distinct fingerprints whose components are those of all links.
+def links(classes: DataFrame, n: int) -> DataFrame:
+    """a, b: links between n distinct fingerprints whose components are those of all links.
 
     All pairs of at most RADIUS differing bits that meet under a key of at most FEW fingerprints; in
     fuller keys, for each point shared, a link of each fingerprint to the least.
     """
     table = keep(pivot_table(classes).select("fp", "t0", "t1", F.explode("keys").alias("key")), "pivot-table")
     row = F.struct("fp", "t0", "t1")
-    buckets = keep(table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).where("n > 1"), "pivot-buckets")
+    buckets = keep(table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).where("n > 1"), "pivot-buckets", 2 * n)
     two = buckets.where("n = 2").where(_near(F.col("lo"), F.col("hi"))).select(F.col("lo.fp").alias("a"), F.col("hi.fp").alias("b"))
     some = buckets.where(f"n between 3 and {FEW}").select("key")
     members = table.join(some, "key").groupBy("key").agg(F.collect_list(row).alias("m"))  # at most FEW of them
@@ -133,22 +133,23 @@ def links(classes: DataFrame) -> DataFrame:
         points = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
         shared = points.groupBy("point").agg(F.array_sort(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)  # at most 65 of them
         found = found.unionByName(shared.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b")))
-    return found.distinct()
+    return keep(found.distinct(), "links", 8 * buckets.count())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the least node of its component for each node of a table of links a, b."""
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")), "labels")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    most = 2 * edges.count()
+    labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")), "labels", most)
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
         moved = labels.join(near, labels.v == near.a).select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        moved = keep(moved, "labels")
+        moved = keep(moved, "labels", most)
         counts = moved.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
         total = moved.count()
         hot = [r.l for r in counts.where(F.col("n") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
         parents = moved.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        labels = keep(join_hot(moved, parents, "l", hot).select("v", "old", F.least("l", "up").alias("l")), "labels")
+        labels = keep(join_hot(moved, parents, "l", hot).select("v", "old", F.least("l", "up").alias("l")), "labels", most)
         if not labels.where("l <> old").head(1):
             return labels.select("v", F.col("l").alias("root"))
         labels = labels.select("v", "l")
@@ -162,16 +163,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated.  Other columns are not read, an empty table gives an empty one.
     """
     rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    roots = components(links(classes)).withColumnRenamed("v", "fp")
+    total = rows.count()
+    classes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes", total)
+    roots = components(links(classes, total)).withColumnRenamed("v", "fp")
     placed = roots.join(classes, "fp").select("fp", "root", "first")
-    least = keep(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
-    total = classes.count()
-    hot_roots = [r.root for r in least.where(F.col("n") > max(1.0, HOT_SHARE * total)).select("root").collect()] if total > 1 / HOT_SHARE else []
+    least = keep(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "components", total)
+    share = max(1.0, HOT_SHARE * total)  # few keys are hot in small tables too
+    hot_roots = [r.root for r in least.where(F.col("n") > share).select("root").collect()] if total > 1 / HOT_SHARE else []
     named = join_hot(roots, least.select("root", "component_id"), "root", hot_roots).select("fp", "component_id")
-    final = keep(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "classes")
-    total = rows.count()
-    hot = [r.fp for r in final.where(F.col("n") > max(1.0, HOT_SHARE * total)).select("fp").collect()] if total > 1 / HOT_SHARE else []
+    final = keep(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "classes", total)
+    hot = [r.fp for r in final.where(F.col("n") > share).select("fp").collect()] if total > 1 / HOT_SHARE else []
     out = join_hot(rows, final.select("fp", "component_id"), "fp", hot)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -182,6 +183,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Of rows that repeat this id one stays.  Rows with a null id stay: nothing names them.
     """
     found = near_duplicates(docs, id_col, text_col, size)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
