@@ -12,6 +12,7 @@ the difference of the two classes' scores; each distinct word is hashed once.
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -95,26 +96,27 @@ class SubwordBag:
         """Adagrad on the cross entropy of the texts; the rare class is weighted up."""
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
-        bags: list[list[int]] = []
-        texts = []
+        grams, ends, texts = array("i"), array("i"), []  # flat, for lists of buckets would take many times the memory
         for text, y in sample:
-            own = []
+            own = array("i")
             for word in split_words(text):
                 at = index.get(word)
                 if at is None:
-                    at = index[word] = len(bags)
-                    bags.append(subwords(word))
+                    at = index[word] = len(index)
+                    grams.extend(subwords(word))
+                    ends.append(len(grams))
                 own.append(at)
             if own:
                 texts.append((np.array(own), int(y)))
         if not texts:
             return self
-        sizes = np.array([len(b) for b in bags])
-        flat, first = np.concatenate([np.array(b) for b in bags]), np.concatenate([[0], np.cumsum(sizes)])
+        flat, first = np.array(grams), np.concatenate([[0], np.array(ends)])
+        sizes = np.diff(first)
+        del index, grams, ends
         positive = max(1, sum(y for _, y in texts))
         lift = (1.0, min(4.0, max(1.0, (len(texts) - positive) / positive)))
         seen, seen_w, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-        slot = np.zeros(len(bags), np.int64)
+        slot = np.zeros(len(sizes), np.int64)
         epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))
         for epoch in range(epochs):
             order, rate = rng.permutation(len(texts)), RATE * (1 - 0.8 * epoch / epochs)
