@@ -207,12 +207,12 @@ def revisits(index: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     Of equal payloads of at least ``min_bytes`` bytes the largest page id is the response.  Frequent
     payloads are at most 1/HOT_SHARE many; their records meet the response's id by broadcast.
     """
-    large = index.where(F.col("payload_bytes") >= min_bytes)
-    groups = keep(large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null"), "payload-groups")
-    total = index.count()
+    large, total = index.where(F.col("payload_bytes") >= min_bytes), index.count()
+    groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    groups = keep(groups, "payload-groups", total)
     hot = [r.payload_digest for r in groups.where(F.col("n") > HOT_SHARE * total).select("payload_digest").collect()]
     members = join_hot(large.select("page_id", "payload_digest"), groups.select("payload_digest", "refers_to"), "payload_digest", hot, "inner")
-    return members.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    return keep(members.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "revisits", total)
 
 
 def write_warcs(records: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -286,7 +286,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
 def convert_arcs(arcs: DataFrame) -> DataFrame:
     """Legacy archives to WARC archives; later copies of a payload become revisits."""
     index = keep(read_arcs(arcs, with_block=False).select("page_id", "payload_digest", "payload_bytes"), "arc-index")
-    links = keep(revisits(index), "revisits").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to")
+    links = revisits(index).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to")
     records = read_arcs(arcs)
     # a page id is null or nearly unique, so no value is frequent; null ids spread by their place
     place = F.coalesce(F.col("page_id").cast("string"), F.concat_ws("@", F.lit("none"), "archive", "arc_offset"))
@@ -308,6 +308,6 @@ def page_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     largest id; a null id counts as the smallest and is never referred to; a null url gets one made
     from the id.  Other columns are not read, an empty table gives an empty one.
     """
-    arcs = keep(write_arcs(pages, id_col, url_col, html_col), "arcs")
+    arcs = write_arcs(pages, id_col, url_col, html_col)  # made twice, in the index pass and in the conversion; never stored
     warcs = keep(convert_arcs(arcs), "warcs")
     return read_warcs(warcs)
