@@ -48,7 +48,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = asked.withColumn("text", F.regexp_replace("text", r"^\S+\s+|\s+\S+$", ""))
     wanted = bm25.query_terms(inner, LATIN_EXACT)
     counts = wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    hits = index(spark, sf_dir).postings.join(F.broadcast(wanted), ["col", "key"]).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("found"))
+    hits = index(spark, sf_dir).postings.join(wanted, ["col", "key"]).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("found"))
     full = hits.join(counts, "qid").where("found = n").select("qid", "chunk_id")
     texts = corpus(spark, sf_dir).select("chunk_id", F.col("text").alias("whole"))
     return full.join(asked, "qid").join(texts, "chunk_id").where(F.contains("whole", F.col("text"))).select("qid", "chunk_id")
