@@ -3,7 +3,8 @@
 A filter is a learned table of weights for each of WIDTH neighbouring bytes (a convolution of one-hot
 bytes), so a response is a sum of WIDTH look-ups.  The whole text is covered by chunks of CHUNK bytes,
 each overlapping its neighbours by half.  Responses are rectified and max-pooled in each chunk; the
-mean, the largest and the least of the pooled values over all chunks go through one logistic unit.
+mean, the largest and the least of the pooled values over all chunks go through one logistic unit,
+with how much of a chunk the text leaves empty: few bytes raise few responses, which is no fault of theirs.
 Texts are streamed in slabs, so memory doesn't grow with their length.
 """
 
@@ -27,6 +28,10 @@ THRESHOLD, SPLIT, HELD = 0.7, 4, 2
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def empty_share(n_bytes: int) -> float:
+    return 1 - min(n_bytes, CHUNK) / CHUNK
+
+
 class ByteNet:
     """Parameters: tables (WIDTH x 257 x FILTERS), bias, and the weights of the logistic unit."""
 
@@ -35,7 +40,7 @@ class ByteNet:
         self.tables = (rng.standard_normal((WIDTH, 257, FILTERS)) * 0.3).astype(np.float32)
         self.tables[:, PAD] = 0
         self.bias = np.full(FILTERS, 0.1, np.float32)
-        self.weights = (rng.standard_normal(3 * FILTERS) * 0.1).astype(np.float32)
+        self.weights = np.append(rng.standard_normal(3 * FILTERS) * 0.1, 0).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
 
     def responses(self, symbols: np.ndarray) -> np.ndarray:
@@ -59,7 +64,8 @@ class ByteNet:
             yield found.reshape(-1, HALF, FILTERS).max(axis=1)
 
     def pooled(self, raw: bytes) -> np.ndarray:
-        """Mean, largest and least of the chunks' pooled values."""
+        """Mean, largest and least of the chunks' pooled values, and the share of a chunk that is left empty."""
+        spare = [empty_share(len(raw))]
         total, count = np.zeros(FILTERS), 0
         most, least, before = np.full(FILTERS, -np.inf), np.full(FILTERS, np.inf), None
         for halves in self.halves(raw):
@@ -73,8 +79,8 @@ class ByteNet:
             most, least = np.maximum(most, chunks.max(axis=0)), np.minimum(least, chunks.min(axis=0))
         if not count:  # a text of one half chunk
             one = np.maximum(before[0] + self.bias, 0)
-            return np.concatenate([one, one, one])
-        return np.concatenate([total / count, most, least])
+            return np.concatenate([one, one, one, spare])
+        return np.concatenate([total / count, most, least, spare])
 
     def score(self, text: str | None) -> float:
         z = float(self.pooled((text or "").encode()) @ self.weights + self.offset[0])
@@ -117,7 +123,7 @@ class ByteNet:
         values = np.maximum(tops + self.bias, 0)
         n, f = len(values), np.arange(FILTERS)
         most, least = values.argmax(axis=0), values.argmin(axis=0)
-        features = np.concatenate([values.mean(axis=0), values[most, f], values[least, f]])
+        features = np.concatenate([values.mean(axis=0), values[most, f], values[least, f], [empty_share(places)]])
         p = 1 / (1 + np.exp(-np.clip(features @ self.weights + self.offset[0], -30, 30)))
         dz = np.float32(p - y)
         grads[2] += dz * features
@@ -125,7 +131,7 @@ class ByteNet:
         w = self.weights * dz
         back = np.tile(w[:FILTERS] / n, (n, 1))
         back[most, f] += w[FILTERS : 2 * FILTERS]
-        back[least, f] += w[2 * FILTERS :]
+        back[least, f] += w[2 * FILTERS : 3 * FILTERS]
         back *= values > 0
         grads[1] += back.sum(axis=0)
         filters = np.broadcast_to(f, where.shape)
