@@ -25,7 +25,8 @@ def _stems(token: Column, rules: TermRules) -> Column:
     for s in reversed(rules.suffixes):
         suffix = F.when(F.endswith(token, F.lit(s)), F.lit(s)).otherwise(suffix)
     root = F.left(token, F.length(token) - F.length(suffix))
-    long_enough = token.rlike(f"^(?:{rules.stem_class})$") & suffix.isNotNull() & (F.length(root) >= rules.min_root)
+    # the class is tested last: few tokens come so far
+    long_enough = suffix.isNotNull() & (F.length(root) >= rules.min_root) & token.rlike(f"^(?:{rules.stem_class})$")
     return F.when(long_enough, F.array(token, root)).otherwise(F.array(token))
 
 
@@ -38,7 +39,7 @@ def variants(text: Column, rules: TermRules) -> Column:
 
 
 def exact_of(found: Column) -> Column:
-    return F.array_sort(F.transform(found, lambda v: F.concat(F.lit("w"), v)))
+    return F.transform(found, lambda v: F.concat(F.lit("w"), v))
 
 
 def grams_of(found: Column, rules: TermRules) -> Column:
@@ -50,13 +51,13 @@ def grams_of(found: Column, rules: TermRules) -> Column:
         enough = F.filter(letters, lambda v: F.length(v) >= width)
         return F.flatten(F.transform(enough, lambda v: F.transform(F.sequence(F.lit(1), F.length(v) - (width - 1)), lambda k: F.concat(F.lit(mark), F.substring(v, k, F.lit(width))))))
 
-    return F.array_sort(F.array_distinct(F.concat(grams(2, "b"), grams(3, "t"))))
+    return F.array_distinct(F.concat(grams(2, "b"), grams(3, "t")))
 
 
 def search_terms(text: Column, rules: TermRules = TermRules()) -> Column:
     """struct(exact, ngram): sorted distinct terms."""
     found = variants(text, rules)
-    return F.struct(exact_of(found).alias("exact"), grams_of(found, rules).alias("ngram"))
+    return F.struct(F.sort_array(exact_of(found)).alias("exact"), F.sort_array(grams_of(found, rules)).alias("ngram"))
 
 
 def term_set(text: Column, rules: TermRules = TermRules()) -> Column:

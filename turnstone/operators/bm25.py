@@ -28,32 +28,41 @@ RANK_DIGITS, SCORE_DIGITS = 9, 6
 
 @dataclass
 class Index:
-    postings: DataFrame
-    lengths: DataFrame
+    """``terms`` has chunk_id, dl, exact and ngram (arrays of distinct terms): postings and lengths come from it."""
+
+    terms: DataFrame
+    ngrams: bool
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.terms.select("chunk_id", "dl")
+
+    @property
+    def postings(self) -> DataFrame:
+        # terms are distinct in a chunk, so only the first part of a decimal can repeat: it is counted in the array
+        one, point = F.lit(1).alias("tf"), F.lit(".")
+        cut = F.transform("exact", lambda t: F.substring_index(t, ".", 1))
+        firsts = F.transform(F.array_distinct(cut), lambda k: F.struct(k.alias("key"), F.size(F.filter(cut, lambda c: c == k)).alias("tf")))
+        whole = F.transform(F.filter("exact", lambda t: F.contains(t, point)), lambda t: F.struct(t.alias("key"), one))
+        without = self.terms.where("decimals = 0").select("chunk_id", "dl", F.lit("exact").alias("col"), F.explode("exact").alias("key"), one)
+        having = self.terms.where("decimals > 0").select("chunk_id", "dl", F.lit("exact").alias("col"), F.inline(F.concat(firsts, whole)))
+        found = without.unionByName(having)
+        if self.ngrams:
+            found = found.unionByName(self.terms.select("chunk_id", "dl", F.lit("ngram").alias("col"), F.explode("ngram").alias("key"), one))
+        return found
 
 
 def _terms(table: DataFrame, id_col: str, text_col: str, rules: TermRules) -> DataFrame:
-    """id, exact, ngram: the sorted distinct terms of each row."""
+    """id, exact, ngram: the distinct terms of each row."""
     found = table.select(F.col(id_col).alias("id"), variants(F.col(text_col), rules).alias("v"))
     return found.select("id", exact_of(F.col("v")).alias("exact"), grams_of(F.col("v"), rules).alias("ngram"))
 
 
 def build_index(chunks: DataFrame, rules: TermRules = TermRules(), id_col: str = "chunk_id", text_col: str = "text") -> Index:
-    """Postings and lengths of chunks."""
+    """The index of chunks; its table is computed once if the caller stores or persists it."""
     found = _terms(chunks, id_col, text_col, rules).withColumnRenamed("id", "chunk_id")
-    decimals = F.size(F.filter("exact", lambda t: F.contains(t, F.lit("."))))
-    lengths = found.select("chunk_id", (F.size("exact") + decimals + F.size("ngram")).alias("dl"))
-    # terms are distinct in a chunk, so only the first part of a decimal can repeat: it is counted in the array
-    cut = F.transform("exact", lambda t: F.substring_index(t, ".", 1))
-    firsts = F.when(decimals > 0, F.transform(F.array_distinct(cut), lambda k: F.struct(k.alias("key"), F.size(F.filter(cut, lambda c: c == k)).alias("tf"))))
-    whole = F.transform(F.filter("exact", lambda t: F.contains(t, F.lit("."))), lambda t: F.struct(t.alias("key"), F.lit(1).alias("tf")))
-    plain = F.transform("exact", lambda t: F.struct(t.alias("key"), F.lit(1).alias("tf")))
-    entries = F.when(decimals > 0, F.concat(firsts, whole)).otherwise(plain)
-    exact = found.select("chunk_id", F.lit("exact").alias("col"), F.inline(entries))
-    if not rules.ngrams:
-        return Index(exact, lengths)
-    ngram = found.select("chunk_id", F.lit("ngram").alias("col"), F.explode("ngram").alias("key"), F.lit(1).alias("tf"))
-    return Index(exact.unionByName(ngram), lengths)
+    found = found.withColumn("decimals", F.size(F.filter("exact", lambda t: F.contains(t, F.lit(".")))))
+    return Index(found.withColumn("dl", F.size("exact") + F.col("decimals") + F.size("ngram")), rules.ngrams)
 
 
 def query_terms(queries: DataFrame, rules: TermRules = TermRules(), id_col: str = "qid", text_col: str = "text") -> DataFrame:
@@ -80,22 +89,23 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
 
 
-def scores(index: Index, terms: DataFrame) -> DataFrame:
-    """qid, chunk_id, score of all chunks that share a term with a query."""
-    asked = terms.select("col", "key").distinct()
-    postings = index.postings.join(asked, ["col", "key"], "left_semi")
+def term_parts(index: Index, terms: DataFrame) -> DataFrame:
+    """col, key, chunk_id, part: what each posting of an asked term adds to a score, whatever the query."""
+    postings = index.postings.join(terms.select("col", "key").distinct(), ["col", "key"], "left_semi")
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("col") == name, F.lit(w)).otherwise(weight)
     f = weight * F.col("tf")
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    # each posting's part of the score doesn't depend on the query: it is computed once
-    parts = (
-        postings.join(index.lengths, "chunk_id").crossJoin(F.broadcast(corpus_stats(index)))
-        .join(postings.groupBy("col", "key").agg(F.count(F.lit(1)).alias("df")), ["col", "key"])
-        .select("col", "key", "chunk_id", (idf(F.col("n_docs"), F.col("df")) * f * (K1 + 1) / (f + norm)).alias("part"))
-    )
-    return terms.join(parts, ["col", "key"]).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
+    df = postings.groupBy("col", "key").agg(F.count(F.lit(1)).alias("df"))
+    found = postings.join(df, ["col", "key"]).crossJoin(F.broadcast(corpus_stats(index)))  # one row
+    return found.select("col", "key", "chunk_id", (idf(F.col("n_docs"), F.col("df")) * f * (K1 + 1) / (f + norm)).alias("part"))
+
+
+def scores(index: Index, terms: DataFrame) -> DataFrame:
+    """qid, chunk_id, score, matched: of all chunks that share a term with a query."""
+    found = terms.join(term_parts(index, terms), ["col", "key"])
+    return found.groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def by_topic(chunks: DataFrame, topic: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+_RELEVANT: dict[tuple[str, str], DataFrame] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build_index(corpus(spark, sf_dir), LATIN_EXACT)
+    """The index of the documents, kept (spilling to disk) for the session's later queries of these tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        built = bm25.build_index(corpus(spark, sf_dir), LATIN_EXACT)
+        _INDEXES[key] = bm25.Index(built.terms.persist(StorageLevel.MEMORY_AND_DISK), built.ngrams)
+    return _INDEXES[key]
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +54,9 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     Candidates hold all its terms but the outermost, which may be glued to other letters; only these
     are read for the comparison of texts.
     """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key in _RELEVANT:
+        return _RELEVANT[key]
     asked = questions(spark, sf_dir)
     inner = asked.withColumn("text", F.regexp_replace("text", r"^\S+\s+|\s+\S+$", ""))
     wanted = bm25.query_terms(inner, LATIN_EXACT)
@@ -51,7 +64,9 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = index(spark, sf_dir).postings.join(wanted, ["col", "key"]).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("found"))
     full = hits.join(counts, "qid").where("found = n").select("qid", "chunk_id")
     texts = corpus(spark, sf_dir).select("chunk_id", F.col("text").alias("whole"))
-    return full.join(asked, "qid").join(texts, "chunk_id").where(F.contains("whole", F.col("text"))).select("qid", "chunk_id")
+    found = full.join(asked, "qid").join(texts, "chunk_id").where(F.contains("whole", F.col("text"))).select("qid", "chunk_id")
+    _RELEVANT[key] = found.persist(StorageLevel.MEMORY_AND_DISK)
+    return _RELEVANT[key]
 
 
 def ranked(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
