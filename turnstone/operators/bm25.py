@@ -28,10 +28,14 @@ RANK_DIGITS, SCORE_DIGITS = 9, 6
 
 @dataclass
 class Index:
-    """``terms`` has chunk_id, dl, exact and ngram (arrays of distinct terms): postings and lengths come from it."""
+    """``terms`` has chunk_id, dl, exact and ngram (arrays of distinct terms): postings and lengths come from it.
+
+    ``stored`` has the postings, if they were written or persisted.
+    """
 
     terms: DataFrame
     ngrams: bool
+    stored: DataFrame | None = None
 
     @property
     def lengths(self) -> DataFrame:
@@ -39,6 +43,8 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
+        if self.stored is not None:
+            return self.stored
         # terms are distinct in a chunk, so only the first part of a decimal can repeat: it is counted in the array
         one, point = F.lit(1).alias("tf"), F.lit(".")
         cut = F.transform("exact", lambda t: F.substring_index(t, ".", 1))

@@ -44,7 +44,8 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
         built = bm25.build_index(corpus(spark, sf_dir), LATIN_EXACT)
-        _INDEXES[key] = bm25.Index(built.terms.persist(StorageLevel.MEMORY_AND_DISK), built.ngrams)
+        built = bm25.Index(built.terms.persist(StorageLevel.MEMORY_AND_DISK), built.ngrams)
+        _INDEXES[key] = bm25.Index(built.terms, built.ngrams, built.postings.persist(StorageLevel.MEMORY_AND_DISK))
     return _INDEXES[key]
 
 
