@@ -191,3 +191,53 @@ def test_keep_one(spark):
     assert neardup.keep_one(docs.limit(0)).count() == neardup.near_duplicates(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d", "en"), (1, "a b c d", "en"), (None, "x y z", "en"), (2, None, None)], "doc_id long, text string, lang string")
     assert sorted(map(repr, (r.doc_id for r in neardup.keep_one(twice).collect()))) == ["1", "2", "None"]
+
+
+@pytest.mark.parametrize("few", [neardup.FEW, 3])
+def test_near_copies_of_the_pipeline(spark, few):
+    """The stage keeps one text of each group linked by 5-word shingles of similarity 0.8, found by brute force."""
+    import corpus_pipeline
+
+    rnd = random.Random(few)
+    texts = [[rnd.choice(VOCABULARY) for _ in range(120)] for _ in range(12)]
+    for n, base in enumerate(list(texts)):
+        for _ in range(30 if n == 0 else 2):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, 5)):
+                copy[rnd.randrange(120)] = rnd.choice(VOCABULARY)
+            texts.append(copy)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(5000 + k, " ".join(t)) for k, t in enumerate(texts)] + [(9000, None), (9001, " "), (9002, "one two"), (9003, "One  two")]
+    groups = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        grams = frozenset(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(1, len(words)))))
+        groups.setdefault(grams, []).append(i)
+    sets, holders = list(groups), {}
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, grams in enumerate(sets):
+        shared = {}
+        for g in grams:
+            for j in holders.setdefault(g, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[g].append(k)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(grams) + len(sets[j]) - n):
+                root[find(k)] = find(j)
+    least = {}
+    for k, grams in enumerate(sets):
+        least[find(k)] = min([least.get(find(k), 1 << 40), *groups[grams]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old, neardup.FEW = neardup.FEW, few
+    try:
+        kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    finally:
+        neardup.FEW = old
+    assert kept == sorted(least.values())
+    assert len(kept) < neardup.near_duplicates(docs).select("component_id").distinct().count()

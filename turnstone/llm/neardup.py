@@ -18,6 +18,12 @@ points within one bit of it.  Two fingerprints have at most two differing bits j
 such a point, and no point can have more than 65 fingerprints, however large the group of copies is.
 
 Components come from minimum labels with pointer jumping over links whose degrees are bounded.
+
+Near copies by similarity (``similarity`` given, as the pipeline does) lie many bits apart, so they are
+found another way: texts with the same set of shingles are one class; the sets' min-hashes, ``MIN_ROWS``
+to a key, place each class under ``BANDS`` keys, and classes that meet are verified by the similarity
+(Jaccard) of their own shingles.  Two sets of similarity 0.8 miss all keys once in 40,000 times, nearer ones
+less often.  Fuller keys are joined with the next keys and compared again, see `similar_pairs`.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
 
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
 FEW = 64
+NEAR_SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle and least similarity of near copies
+BANDS, MIN_ROWS, LEVELS = 20, 4, 5
 BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
 BLOCK_PIVOTS, FREE_PIVOTS = 8, 16
 _RANDOM = random.Random(20240501)
@@ -42,6 +50,8 @@ BASE = _RANDOM.getrandbits(64)
 IN_BLOCK = [[BASE ^ sum(1 << b for b in block if _RANDOM.random() < 0.5) for _ in range(BLOCK_PIVOTS)] for block in BLOCKS]
 FREE = [_RANDOM.getrandbits(64) for _ in range(FREE_PIVOTS)]
 KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
+_TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(BANDS * MIN_ROWS)], np.uint64)
+_PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(BANDS * MIN_ROWS)], np.uint64)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -136,6 +146,92 @@ def links(classes: DataFrame, n: int) -> DataFrame:
     return keep(found.distinct(), "links", 8 * buckets.count())
 
 
+def set_keys(text: str | None, size: int = NEAR_SHINGLE) -> tuple[int, int, list[int]]:
+    """A digest of a text's set of shingles, their number, and the keys of its min-hashes; without words none."""
+    from xxhash import xxh64_intdigest
+
+    found = set(shingles(text, size))
+    if not found:
+        return 0, 0, []
+    hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+    least = np.full(len(_TIMES), np.uint64((1 << 64) - 1))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _TIMES + _PLUS).min(axis=0))
+    bands = least.reshape(BANDS, MIN_ROWS)
+    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), [_SIGNED(xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(bands)]
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, fp (the digest of the set), n (its size), keys, text."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [set_keys(t, size) for t in batch.column(1).to_pylist()]
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[], [], []], (pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(1)], names=["doc_id", "fp", "n", "keys", "text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, n int, keys array<long>, text string")
+
+
+def similar_pairs(table: DataFrame, similarity: float) -> DataFrame:
+    """a, b (rows' ``at``): pairs of classes to verify; ``table`` has at, n, keys.
+
+    All pairs that meet under a key of at most FEW classes.  In a fuller key each class is paired with
+    the least, and the key is joined with the class's next one: this makes smaller keys, and so on for
+    up to LEVELS keys, after which near copies differ so little that the least ones link them.
+    """
+    rows = keep(table.select("at", "n", "keys", F.posexplode("keys").alias("band", "key")).select("at", "n", "keys", "band", "key"), "set-keys")
+    row, out = F.struct("at", "n"), None
+    near = lambda a, b: F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(similarity)
+    for level in range(1, LEVELS + 1):
+        buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(row).alias("least")).where("m > 1"), "set-buckets")
+        some = buckets.where(f"m <= {FEW}").select("key")
+        members = rows.join(some, "key").groupBy("key").agg(F.collect_list(row).alias("m"))  # at most FEW of them
+        pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b["at"] > a["at"]) & near(a, b)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
+        found = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+        full = buckets.where(f"m > {FEW}").select("key", "least")
+        hot = full.count()
+        if hot:
+            crowd = keep(rows.join(F.broadcast(full) if hot <= 1 / HOT_SHARE else full, "key"), "set-crowds")
+            star = crowd.where((F.col("at") != F.col("least.at")) & near(F.col("least"), row))
+            found = found.unionByName(star.select(F.least("at", "least.at").alias("a"), F.greatest("at", "least.at").alias("b")))
+            rows = crowd.select("at", "n", "keys", "band", F.xxhash64("key", F.col("keys")[(F.col("band") + level) % BANDS]).alias("key"))
+        found = keep(found.distinct(), "set-pairs")
+        out = found if out is None else out.unionByName(found)
+        if not hot:
+            break
+    return out.distinct()
+
+
+def similar_links(sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: digests of sets of at least this similarity; ``sets`` has at, fp, n, keys and text."""
+    first = keep(sets.groupBy("fp").agg(F.min("at").alias("at")).select("at"), "set-classes")
+    pairs = keep(similar_pairs(sets.select("at", "n", "keys").join(first, "at", "left_semi"), similarity), "set-pairs")
+    wanted = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
+    texts = keep(sets.select("at", "fp", "text").join(wanted, "at", "left_semi"), "set-texts")
+    total = pairs.count()
+    for end in ("a", "b"):
+        hot = [r[end] for r in pairs.groupBy(end).count().where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
+        pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("fp").alias(f"{end}_fp"), F.col("text").alias(f"{end}_text")), end, hot, "inner")
+
+    def run(batches):
+        last, own = None, set()
+        for batch in batches:
+            linked = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if a != last:
+                    last, own = a, set(shingles(a, size))
+                other = set(shingles(b, size))
+                both = len(own & other)
+                linked.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
+    found = pairs.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return keep(found, "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the least node of its component for each node of a table of links a, b."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -155,17 +251,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("v", "l")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links).
 
+    Links are fingerprints within RADIUS bits, or with ``similarity`` sets of shingles that are as
+    similar at least; the fingerprint is then a digest of the set.
+
     A null or blank text has fingerprint zero and is linked like any other.  A null id takes part
     and never becomes a component id; a component of null ids alone has none.  Repeated rows stay
     repeated.  Other columns are not read, an empty table gives an empty one.
     """
-    rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    if similarity is None:
+        rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    else:
+        sets = keep(shingle_sets(docs, id_col, text_col, size).withColumn("at", F.monotonically_increasing_id()), "shingle-sets")
+        rows = sets.select("doc_id", "fp")
     total = rows.count()
     classes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes", total)
-    roots = components(links(classes, total)).withColumnRenamed("v", "fp")
+    found = links(classes, total) if similarity is None else similar_links(sets, size, similarity)
+    roots = components(found).withColumnRenamed("v", "fp")
     placed = roots.join(classes, "fp").select("fp", "root", "first")
     least = keep(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "components", total)
     share = max(1.0, HOT_SHARE * total)  # few keys are hot in small tables too
@@ -177,12 +281,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of one document of each component, the one whose id names it; columns as they were.
 
     Of rows that repeat this id one stays.  Rows with a null id stay: nothing names them.
     """
-    found = near_duplicates(docs, id_col, text_col, size)
+    found = near_duplicates(docs, id_col, text_col, size, similarity)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
