@@ -108,6 +108,15 @@ def test_nothing_to_learn(spark):
     assert quality.quality_scores(docs, nothing).count() == toxicity.toxicity_scores(docs, nothing).count() == docs.count()
 
 
+def test_toxicity_filter_with_nothing_to_learn(spark):
+    """Without labels, or with none of a short enough text, no document is toxic and all rows stay."""
+    docs, labels = tables(spark)
+    docs = docs.limit(20).select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 20_000)], "doc_id long, text string"))
+    for known in (labels.limit(0), spark.createDataFrame([(-3, 1)], "doc_id long, toxic int")):
+        assert toxicity.without_toxic(docs, toxicity.train(docs, known)).count() == docs.count()
+        assert toxicity.toxicity_scores(docs, known).where("predicted = 1 or score >= 0.01").count() == 0
+
+
 def test_slabs_score_like_one_piece():
     net = quality.ByteNet()
     raw = bytes(np.random.default_rng(1).integers(32, 127, 3 * quality.SLAB // 2, np.uint8))

@@ -60,6 +60,10 @@ def odds(z: np.ndarray) -> tuple[float, np.ndarray]:
     return float(top + np.log(e.sum())), e / e.sum()
 
 
+#: The log odds of a text where no label was learned.
+UNLEARNED = -30.0
+
+
 class SubwordBag:
     """Vectors of the buckets, and weights and biases of the two classes."""
 
@@ -93,7 +97,10 @@ class SubwordBag:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def fit(self, sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 4) -> "SubwordBag":
-        """Adagrad on the cross entropy of the texts; the rare class is weighted up."""
+        """Adagrad on the cross entropy of the texts; the rare class is weighted up.
+
+        With no text to learn from, no text is called toxic: each scores about zero.
+        """
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
         grams, ends, texts = array("i"), array("i"), []  # flat, for lists of buckets would take many times the memory
@@ -109,6 +116,8 @@ class SubwordBag:
             if own:
                 texts.append((np.array(own), int(y)))
         if not texts:
+            self.scalars, self.shift = np.zeros(BUCKETS, np.float32), UNLEARNED
+            self._remember()
             return self
         flat, first = np.array(grams), np.concatenate([[0], np.array(ends)])
         sizes = np.diff(first)
@@ -171,7 +180,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, held_out, score and predicted of each row.
 
     A null text and a text without words get the score of no words; a null id is scored all the same; null
-    labels are not learned from; without labels the untrained model scores.  Repeated rows stay
+    labels are not learned from; without labels that can be learned every text scores about zero and none is toxic.  Repeated rows stay
     repeated, other columns are not read, an empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
