@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -87,6 +88,15 @@ def test_recall_at_the_most_edits():
     assert hit / total >= decontaminate.TARGET_RECALL
 
 
+def test_unrelated_windows_are_discarded():
+    """Padding after both walks is no agreement: windows that share no word with the item don't survive."""
+    rng = np.random.default_rng(0)
+    for n in (10, 30, 100):
+        items = decontaminate.Items([(1, " ".join(f"w{k}" for k in range(n)))])
+        windows = rng.integers(3, 1 << 63, (200, n), dtype=np.uint64)
+        assert not items.survivors(np.zeros(200, np.int64), windows).any()
+
+
 def test_item_blocks_and_whole_tables(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     blocks = list(decontaminate.item_blocks(items, "item_id", "text", 300))

@@ -114,10 +114,11 @@ class Items:
         rng = np.random.default_rng(11)
         self.samples = rng.random((WALKS, REPEATS, SAMPLES))
         self.embedded = [cgk(matrix, self.steps, walk) for walk in range(WALKS)] if len(self.words) else []
+        self.ends = [(e != 0).sum(axis=1) for e in self.embedded]  # steps of each item's walk; beyond is padding, which says nothing
 
     def places(self, items: np.ndarray, walk: int) -> np.ndarray:
-        """Sampled steps of one walk: windows x repeats x samples, each within an item's own 3n steps."""
-        return (self.samples[walk][None] * (3 * self.sizes[items])[:, None, None]).astype(np.int64)
+        """Sampled steps of one walk: windows x repeats x samples, each before the item's own walk ends."""
+        return (self.samples[walk][None] * self.ends[walk][items][:, None, None]).astype(np.int64)
 
     def hashes(self, text: str | None) -> np.ndarray:
         """The words of a text; those that no item has are all written as OTHER, which equals none of an item's."""
