@@ -141,3 +141,24 @@ def test_files_of_odd_rows(spark, tokenizer):
     wanted = brute_force(rows, tokenizer)
     assert sorted(found, key=lambda r: r.start) == [tuple(w) for w in wanted]
     assert token_files.token_files(docs.limit(0), WORDS).count() == 0
+
+
+def test_stored_files_are_enough(spark, sf):
+    """Segments and dictionary, as they lie in the shared folder, give every document's ids."""
+    import glob
+
+    from tokenizers import Tokenizer
+
+    from turnstone.llm.common import shared_dir
+
+    stored = lambda: set(glob.glob(shared_dir(spark).removeprefix("file://").removeprefix("file:") + "/token-files-*"))
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), stored()
+    n = token_files.token_files(docs, WORDS).count()
+    (home,) = stored() - before
+    dictionary = token_files.stored_dictionary(spark, home)
+    assert dictionary
+    read = token_files.read_segments(spark.read.parquet(f"{home}/segments"), dictionary).collect()
+    library = Tokenizer.from_file(WORDS)
+    wanted = {r.doc_id: library.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    assert len(read) == n == len(wanted)
+    assert all(np.frombuffer(r.ids, "<u4")[:-1].tolist() == wanted[r.doc_id] for r in read)

@@ -25,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import Memo, bound_batches, keep
+from turnstone.llm.common import Memo, bound_batches, fresh_path
 
 MAGIC = b"TSIDS001"  # fixed values: magic, head and index entry of a segment
 HEAD, ENTRY = "<8s32sQQ", "<QII"
@@ -37,6 +37,7 @@ END_ID, LEVEL = 1, 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 4096, 32 << 10
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 50_000
 SEGMENTS = "part int, segment int, first_id long, n_docs long, n_ids long, doc_ids binary, content binary"
+DICTIONARY = "sha256 binary, dictionary binary"
 READ = "part int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary"
 
 
@@ -336,16 +337,31 @@ def read_segments(segments: DataFrame, dictionary: bytes, with_ids: bool = True)
     return segments.select("part", "segment", "doc_ids", "content").mapInArrow(run, READ)
 
 
+def stored_dictionary(spark: SparkSession, home: str) -> bytes:
+    """The dictionary that was stored beside the segments, held against its sha256."""
+    row = spark.read.schema(DICTIONARY).parquet(f"{home}/dictionary").first()
+    if hashlib.sha256(row.dictionary).digest() != bytes(row.sha256):
+        raise ValueError("the stored dictionary is damaged")
+    return bytes(row.dictionary)
+
+
 def token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all rows to segments in the shared folder, read them back: doc_id, start, n_tokens, ids_crc32.
 
+    The files are in ``token-files-*`` of the shared folder: ``segments``, and ``dictionary``, a row of the
+    dictionary and the sha256 that the segments name; both are read back from there.
+
     ``start`` counts the ids of all documents before this one.  A null text counts as empty (the end
     id alone); null ids come first; rows of equal id are ordered by a hash of the text, then the
     text, and equal rows follow each other; other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col)
-    segments = keep(write_segments(docs, tokenizer_path, dictionary, id_col, text_col), "token-segments")
+    home = fresh_path(spark, "token-files")
+    spark.createDataFrame([(hashlib.sha256(dictionary).digest(), dictionary)], DICTIONARY).coalesce(1).write.parquet(f"{home}/dictionary")
+    write_segments(docs, tokenizer_path, dictionary, id_col, text_col).write.option("compression", "zstd").parquet(f"{home}/segments")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{home}/segments")
+    dictionary = stored_dictionary(spark, home)
     order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
     # one small row for each segment, not for each document
     bases = segments.select("part", "segment", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
