@@ -93,6 +93,47 @@ def test_pieces_start_anew_when_full(tokenizer, monkeypatch):
         assert encode.encode(texts) == wanted
 
 
+def thue_morse(n, a, b):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def library_ids(tokenizer, texts):
+    return [np.array([*e.ids, 1], "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_of_equal_hashes_are_told_apart(tokenizer, monkeypatch):
+    """Thue-Morse words and their complements share all polynomial hashes modulo 2^64."""
+    encode, rnd = token_files.Encoder(WORDS), random.Random(5)
+    for n in (1024, 2048, 4096, 8192):
+        texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a"), "x " + thue_morse(n, "b", "a") + " y " + thue_morse(n, "a", "b")]
+        texts += ["".join(rnd.choice("ab") for _ in range(n)) for _ in range(3)]
+        assert texts[0] != texts[1] and encode.encode(texts) == library_ids(tokenizer, texts)
+        assert encode.encode(texts[::-1]) == library_ids(tokenizer, texts[::-1])
+    monkeypatch.setattr(token_files, "MULTIPLIERS", (1, 1))  # now the hashes of all anagrams are equal
+    encode = token_files.Encoder(WORDS)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(9))) for _ in range(30)]
+        assert encode.encode(texts) == library_ids(tokenizer, texts)
+
+
+def test_both_routes_give_the_same_ids(tokenizer, monkeypatch):
+    texts = ["Abc def 12, ghi!\n" * 3000, "ÉcolE (x)  y\t" * 500, "word " * 200]
+    by_pieces = token_files.Encoder(WORDS).encode(texts)
+    monkeypatch.setattr(token_files, "GROUP_CHARS", 1)  # no text is plain any more
+    assert token_files.Encoder(WORDS).encode(texts) == by_pieces == library_ids(tokenizer, texts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40, 700])
+def test_a_dictionary_is_trained_at_every_size(n):
+    import zstandard
+
+    rnd = random.Random(n)
+    samples = [np.array([rnd.randrange(300) for _ in range(rnd.randrange(1, 90))], "<u4").tobytes() for _ in range(n)]
+    found = token_files.dictionary_of(samples)
+    assert zstandard.ZstdCompressionDict(found, dict_type=zstandard.DICT_TYPE_FULLDICT).dict_id()
+    assert token_files.dictionary_of([b"", b""]) == token_files.dictionary_of([]) == b""
+
+
 def brute_force(rows, tokenizer):
     out, start = [], 0
     for doc_id, text in rows:

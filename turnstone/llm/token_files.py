@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import Memo, bound_batches, fresh_path
+from turnstone.llm.common import Memo, bound_batches, fresh_path, input_bytes
 
 MAGIC = b"TSIDS001"  # fixed values: magic, head and index entry of a segment
 HEAD, ENTRY = "<8s32sQQ", "<QII"
 HEAD_SIZE, ENTRY_SIZE = struct.calcsize(HEAD), struct.calcsize(ENTRY)
 END_ID, LEVEL = 1, 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 4096, 32 << 10
+LEAST_DICTIONARY, LEAST_SAMPLES = 1024, 64
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 50_000
 SEGMENTS = "part int, segment int, first_id long, n_docs long, n_ids long, doc_ids binary, content binary"
 DICTIONARY = "sha256 binary, dictionary binary"
@@ -47,7 +48,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LIMIT, SPACES = 0x250, "\t\n\x0b\x0c\r \x85\xa0"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-GROUP_CHARS, KEPT_PIECES, KEPT_IDS = 1 << 19, 800_000, 4_000_000
+GROUP_CHARS, KEPT_PIECES, KEPT_IDS, KEPT_CHARS = 1 << 19, 800_000, 4_000_000, 12_000_000
+INPUT_BYTES = 256 << 20  # stored bytes of the input that go to one range of ids, where the session has fewer partitions
 
 
 def _kind(c: str) -> int:
@@ -63,9 +65,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Pieces:
-    """Cuts many texts at once with numpy, and knows the ids of each piece by two 64-bit hashes.
+    """Cuts many texts at once with numpy, and finds the ids of each piece in a table of those it has met.
 
-    The hashes are polynomials over the lower-case characters, taken from prefix sums; the table is
+    A piece is looked up by two polynomial hashes of its lower-case characters, taken from prefix sums, and
+    then held against the characters that are stored with it: hashes place a piece, only its characters
+    identify it.  A text with a piece that another one has taken the place of is handed back.  The table is
     open-addressed and starts anew when it is full.
     """
 
@@ -84,6 +88,8 @@ class Pieces:
         self.keys = np.zeros((2, size), np.uint64)
         self.at, self.count = np.zeros(size, np.int64), np.zeros(size, np.int32)
         self.ids, self.used, self.known = np.zeros(1 << 16, "<u4"), 0, 0
+        self.chars, self.chars_at, self.written = np.zeros(1 << 16, np.uint16), np.zeros(size, np.int64), 0
+        self.length = np.zeros(size, np.int32)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash pair, or the empty slot where the search ended; and which were found."""
@@ -100,11 +106,17 @@ class Pieces:
         return slot, found
 
     def _add(self, h: np.ndarray, pieces: list[str]) -> None:
-        """Distinct new pieces and their hashes."""
+        """New pieces of distinct hashes, and these."""
         flat, begins = self.encode(pieces)
+        spelt = np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2")  # all below LIMIT: one unit each
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places = self.written + np.cumsum(lengths) - lengths
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.written + len(spelt) > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
         self.ids[self.used : self.used + len(flat)] = flat
+        self.chars[self.written : self.written + len(spelt)] = spelt
         counts = np.diff(np.append(begins, len(flat)))
         todo, slot = np.arange(len(pieces)), (h[0] & self.mask).astype(np.int64)
         while len(todo):
@@ -115,13 +127,30 @@ class Pieces:
             mine, put = todo[first], s[first]
             self.keys[:, put] = h[:, mine]
             self.at[put], self.count[put] = begins[mine] + self.used, counts[mine]
+            self.chars_at[put], self.length[put] = places[mine], lengths[mine]
             todo = todo[~first]
             slot[todo] = (slot[todo] + 1) & int(self.mask)
         self.used += len(flat)
+        self.written += len(spelt)
         self.known += len(pieces)
 
-    def cut(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; all their characters are below LIMIT and they have no apostrophe."""
+    def _differ(self, slot: np.ndarray, lengths: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Which pieces aren't the ones in their slots; ``spelt`` has the characters of all, one after the other."""
+        wrong = self.length[slot] != lengths
+        ends = np.cumsum(lengths)
+        shift = self.chars_at[slot] - (ends - lengths)
+        shift[wrong] = 0  # these are known to differ; any place will do
+        index = np.arange(len(spelt)) + np.repeat(shift, lengths)
+        unlike = self.chars[np.minimum(index, len(self.chars) - 1)] != spelt
+        if unlike.any():
+            wrong |= np.add.reduceat(unlike, ends - lengths) > 0
+        return wrong
+
+    def cut(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text; all their characters are below LIMIT and they have no apostrophe.
+
+        None for a text with a piece whose place in the table another piece has.
+        """
         lengths = np.array([len(t) + 1 for t in texts])
         chars = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), "<u4")
         kind, low = self.kind[chars], self.lower[chars]
@@ -143,7 +172,7 @@ class Pieces:
         missing, text = np.flatnonzero(~found), None
         while len(missing):
             new = missing[np.unique(hashes[0, missing], return_index=True)[1]]
-            if self.known + len(new) > KEPT_PIECES or self.used > KEPT_IDS:
+            if self.known + len(new) > KEPT_PIECES or self.used > KEPT_IDS or self.written > KEPT_CHARS:
                 self.clear()
                 missing = np.arange(len(starts))
                 new = np.unique(hashes[0], return_index=True)[1]
@@ -154,8 +183,13 @@ class Pieces:
         counts = self.count[slot].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(counts)])
         raw = self.ids[np.repeat(self.at[slot] - total[:-1], counts) + np.arange(total[-1])].tobytes()
-        cuts = (4 * total[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+        cuts = (4 * total[first]).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        if len(starts):
+            for k in set((np.searchsorted(first, np.flatnonzero(self._differ(slot, ends - starts, low[solid].astype(np.uint16))), "right") - 1).tolist()):
+                out[k] = None
+        return out
 
 
 class Encoder:
@@ -207,13 +241,16 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         group, held = [], 0
 
+        def by_words(text: str | None) -> bytes:
+            return b"".join([*map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
+
         def settle():
             for k, ids in zip(group, self.pieces.cut([texts[k] for k in group])):
-                out[k] = ids + end
+                out[k] = by_words(texts[k]) if ids is None else ids + end
 
         for k, text in enumerate(texts):
             if not text or not self.plain(text):
-                out[k] = b"".join([*map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
+                out[k] = by_words(text)
                 continue
             if held + len(text) + 1 > GROUP_CHARS and group:
                 settle()
@@ -233,30 +270,43 @@ def encoder(path: str) -> Encoder:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
     """A dictionary from the texts of at most SAMPLE_DOCS ids, those with the smallest hashes, if they have at most SAMPLE_CHARS characters.
 
-    The hashes are found in a scan of the ids alone.  Without ids there is no dictionary.
+    The hashes are found in a scan of the ids alone.  Without such texts there is no dictionary.
     """
-    import zstandard
-
     hashed = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("t"))
     least = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first().h
     if least is None:
         return b""
     short = hashed.where((F.col("h") <= least) & F.length("t").between(1, SAMPLE_CHARS))
     sample = [r.t for r in short.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
-    ids = encoder(tokenizer_path).encode(sample)
-    if sum(map(len, ids)) < 16 * DICTIONARY_BYTES:
-        return b"".join(ids)[-DICTIONARY_BYTES:]  # too little to train on: the ids themselves, as a raw dictionary
-    return zstandard.train_dictionary(DICTIONARY_BYTES, ids, level=LEVEL).as_bytes()
+    return dictionary_of(encoder(tokenizer_path).encode(sample))
+
+
+def dictionary_of(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary trained on serialized id arrays; nothing but empty ones gives none.
+
+    Training wants many samples and many times the dictionary's bytes: of few, the dictionary is made
+    smaller, down to LEAST_DICTIONARY, and they are given as often as it takes.
+    """
+    import zstandard
+
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    size = min(size, max(LEAST_DICTIONARY, total // 16))
+    times = max(1, -(-LEAST_SAMPLES // len(samples)), -(-16 * size // total))
+    return zstandard.train_dictionary(size, samples * times, level=LEVEL).as_bytes()
 
 
 def write_segments(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Encode and pack all rows, in ascending order of id (null first), then of text (null first).
 
-    Range-partitioned by id before anything is encoded, so each text is encoded once, in order.
+    Range-partitioned by id before anything is encoded, so each text is encoded once, in order.  There are
+    ``parts`` ranges, or as many as the session's shuffles have and one for each INPUT_BYTES of input at least.
+    A null text counts as empty, an empty table gives no segment, other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // INPUT_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     placed = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h")
     placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text").asc_nulls_first()).withColumn("part", F.spark_partition_id()).drop("h")
@@ -307,7 +357,11 @@ def frame_ids(content: bytes, at: int, dictionary: bytes) -> np.ndarray:
 
 
 def read_segments(segments: DataFrame, dictionary: bytes, with_ids: bool = True) -> DataFrame:
-    """One row for each stored document: where its ids start in its segment, their number and crc, and the ids."""
+    """One row for each stored document: where its ids start in its segment, their number and crc, and the ids.
+
+    A segment of another dictionary, or whose index and frames disagree, raises; no segments give no rows; an id
+    that was null is null again.
+    """
     digest_wanted = hashlib.sha256(dictionary).digest()
 
     def run(batches):
