@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of the rows; so at most 1000 keys can be hot, whatever the input.
@@ -82,22 +82,32 @@ def split_column(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, picks: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, max_bytes: int) -> list[tuple[str, object]]:
-    """At most ``rows`` labelled texts of at most ``max_bytes`` bytes each, for fitting a model on the driver.
+def labelled_sample(docs: DataFrame, picks: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, max_bytes: int, per_label: int | None = None) -> list[tuple[str, object]]:
+    """At most ``rows`` labelled texts of about ``max_bytes`` bytes at most, for fitting a model on the driver.
 
     ``picks`` holds (id, label).  The ids with the smallest hashes are taken, so a rerun takes the
-    same ones; only these at most ``rows`` ids are broadcast, and only their texts are collected.
-    Null ids, labels and texts are left out, repeated ids count once.
+    same ones; only these ids are broadcast, and only their texts are collected.  Of a longer text a
+    window is taken, at a place that depends on the id.  With ``per_label`` each label has an equal part of
+    the rows, and at least so many.  Null ids, labels and texts are left out, repeated ids count once.
     """
     spark = docs.sparkSession
     ids = picks.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(label_col).alias("y"))
-    chosen = ids.groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows).collect()
-    labels = {r.i: r.y for r in chosen}
+    ids = ids.groupBy("i").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("i"))
+    if per_label is None:
+        chosen = ids.orderBy("h", "i").limit(rows)
+    else:
+        most = max(per_label, rows // max(1, ids.select("y").distinct().count()))
+        least_first = Window.partitionBy("y").orderBy("h", "i")  # limited before it is shuffled
+        chosen = ids.withColumn("n", F.row_number().over(least_first)).where(F.col("n") <= most)
+    labels = {r.i: r.y for r in chosen.select("i", "y").collect()}
     if not labels:
         return []
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in labels], "i long"))
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= max_bytes))
-    found = texts.join(wanted, "i", "left_semi").collect()
+    text = F.col("t")
+    size = F.floor(F.length(text) * (F.lit(max_bytes) / F.octet_length(text))).cast("int")
+    window = F.substring(text, F.pmod(F.xxhash64("i"), F.length(text) - size + 1).cast("int") + 1, size)
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(wanted, "i", "left_semi")
+    found = texts.select("i", F.when(F.octet_length(text) > max_bytes, window).otherwise(text).alias("t")).collect()
     once = {}
     for r in found:
         once[r.i] = min(once.get(r.i, r.t), r.t)

@@ -4,8 +4,7 @@ Each language learns the scripts of its letters and smoothed counts of the chara
 marks) of its words.  A word's script narrows the languages to those that use it; its score for each of
 these is the log-likelihood of its n-grams, relative to the best and bounded.  The best sequence of
 languages over the words of a text, where each switch costs PENALTY, labels spans of the text.  The
-text's language is the one that it begins and ends in, if that is one (what stands between is then a
-passage in another language); else the one with the most letters.
+text's language is the one whose spans have the most letters.
 
 The language with the largest sum of scores is the best sequence throughout, and needs no search, if no
 excursion pays: let the others change among themselves for nothing and take the best of them at each word;
@@ -29,7 +28,7 @@ from turnstone.llm.common import bound_batches, labelled_sample, split_column
 
 PENALTY, WORST = 10.0, -6.0
 GRAMS, SMOOTH = (2, 3), 0.5
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
+SAMPLE_ROWS, LEAST_ROWS, SAMPLE_BYTES = 3000, 50, 16 << 10  # bounds of what a model is fitted on: texts, least texts of a language, about the bytes of each
 KEPT_WORDS = 400_000
 SPLIT, HELD = 5, 0
 WORDS = re.compile(r"[^\W\d_]+")
@@ -147,11 +146,8 @@ class LanguageModel:
             path = None
         else:
             path = viterbi(scores.tolist(), PENALTY)
-            if path[0] == path[-1]:
-                best = int(path[0])
-            else:
-                lengths = np.fromiter(map(len, words), np.int64, len(words))
-                best = int(np.bincount(path, lengths, len(self.langs)).argmax())
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            best = int(np.bincount(path, lengths, len(self.langs)).argmax())
         weights = np.exp(scores)
         score = float((weights[:, best] / weights.sum(axis=1)).mean())
         return self.langs[best], min(1.0, score), self._spans(text, path, best)
@@ -195,9 +191,12 @@ def viterbi(scores: list[list[float]], penalty: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most SAMPLE_ROWS texts of at most SAMPLE_BYTES bytes with a language, none of them held out."""
+    """Fit on at most SAMPLE_ROWS texts with a language, none of them held out; of a longer one on a window of SAMPLE_BYTES bytes.
+
+    Each language has an equal part of the rows, but LEAST_ROWS of them if there are so many languages.
+    """
     picks = docs.where(split_column(id_col, SPLIT) != HELD).select(id_col, lang_col)
-    return LanguageModel(labelled_sample(docs, picks, id_col, text_col, lang_col, SAMPLE_ROWS, SAMPLE_BYTES))
+    return LanguageModel(labelled_sample(docs, picks, id_col, text_col, lang_col, SAMPLE_ROWS, SAMPLE_BYTES, LEAST_ROWS))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
