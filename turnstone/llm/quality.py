@@ -21,7 +21,7 @@ FILTERS, WIDTH, CHUNK = 16, 4, 256
 HALF = CHUNK // 2
 PAD = 256  # the symbol that stands for no byte
 SLAB = HALF * 512
-SAMPLE_ROWS, SAMPLE_BYTES = 2400, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
+SAMPLE_ROWS, SAMPLE_BYTES = 2400, 16 << 10  # bounds of what a model is fitted on: texts, and about the bytes of each
 EPOCHS, BATCH, RATE = 14, 48, 0.01
 LEAST_STEPS = 500  # small samples are gone over more often
 THRESHOLD, SPLIT, HELD = 0.7, 4, 2
@@ -140,7 +140,7 @@ class ByteNet:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
-    """Fit on at most SAMPLE_ROWS labelled texts of at most SAMPLE_BYTES bytes, none of them held out."""
+    """Fit on at most SAMPLE_ROWS labelled texts, none of them held out; of a longer one on a window of SAMPLE_BYTES bytes."""
     picks = labels.where(split_column(id_col, SPLIT) != HELD).select(id_col, label_col)
     return ByteNet().fit(labelled_sample(docs, picks, id_col, text_col, label_col, SAMPLE_ROWS, SAMPLE_BYTES))
 

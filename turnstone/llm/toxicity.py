@@ -3,8 +3,9 @@
 A word is the bag of its hashed character n-grams (with word marks) and of its own hash, so that
 misspellings never seen share most of their vectors with the words they come from.  The vectors of a
 passage of PASSAGE words are averaged and go through a linear softmax of two classes; passages overlap
-and cover the whole text.  The odds of a text are the sum of the odds of its passages, in training as
-in use: early in training every passage of a toxic text learns from its label, later the toxic ones.
+and cover the whole text.  The odds of a text are the mean of the odds of its passages, in training as
+in use, so a text that is repeated keeps its score, however long it becomes.  (One average over all words
+of a document drowns a few toxic words among hundreds of clean ones; the README has the figures.)
 The model is linear up to the softmax, so in use a word is one number, the mean over its n-grams of
 the difference of the two classes' scores; each distinct word is hashed once.
 """
@@ -24,7 +25,7 @@ from turnstone.llm.common import Memo, bound_batches, labelled_sample, split_col
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
 PASSAGE = 2
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 10  # bounds of what a model is fitted on: texts, and bytes of each
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 10  # bounds of what a model is fitted on: texts, and about the bytes of each
 EPOCHS, BATCH, RATE = 12, 64, 0.15
 LEAST_STEPS = 600  # small samples are gone over more often
 THRESHOLD, SPLIT, HELD = 0.3, 4, 2
@@ -54,10 +55,19 @@ def passages(values: np.ndarray) -> np.ndarray:
 
 
 def odds(z: np.ndarray) -> tuple[float, np.ndarray]:
-    """Logit of the sum of the passages' odds, and the share of each."""
+    """Logit of the mean of the passages' odds, and the share of each in it."""
     top = z.max()
     e = np.exp(z - top)
-    return float(top + np.log(e.sum())), e / e.sum()
+    total = e.sum()
+    return float(top + np.log(total / len(z))), e / total
+
+
+def text_gradient(values: np.ndarray, shift: float, y: int) -> tuple[np.ndarray, float]:
+    """How the cross entropy of a text of label ``y`` changes with each word's number, and with the shift."""
+    z, share = odds(passages(values) + shift)
+    d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+    width = min(PASSAGE, len(values))
+    return np.convolve(share, np.full(width, d / width)), d
 
 
 #: The log odds of a text where no label was learned.
@@ -99,7 +109,7 @@ class SubwordBag:
     def fit(self, sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 4) -> "SubwordBag":
         """Adagrad on the cross entropy of the texts; the rare class is weighted up.
 
-        With no text to learn from, no text is called toxic: each scores about zero.
+        Without texts of both classes nothing can be learned and no text is called toxic: each scores about zero.
         """
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
@@ -115,7 +125,7 @@ class SubwordBag:
                 own.append(at)
             if own:
                 texts.append((np.array(own), int(y)))
-        if not texts:
+        if len({y for _, y in texts}) < 2:
             self.scalars, self.shift = np.zeros(BUCKETS, np.float32), UNLEARNED
             self._remember()
             return self
@@ -142,11 +152,10 @@ class SubwordBag:
                 pull, grad_b = np.zeros(len(used)), 0.0  # how far each word's mean is to move along the direction
                 for words, y in some:
                     own = slot[words]
-                    z, share = odds(passages(scalar[own]) + shift)
-                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * lift[y] / len(some)
-                    grad_b += d
-                    spread = np.convolve(share, np.full(min(PASSAGE, len(own)), d / min(PASSAGE, len(own))))
-                    pull += np.bincount(own, spread, len(used))
+                    spread, d = text_gradient(scalar[own], shift, y)
+                    scale = lift[y] / len(some)
+                    grad_b += d * scale
+                    pull += np.bincount(own, spread * scale, len(used))
                 grad_w = pull @ means
                 grad_w = np.stack([-grad_w, grad_w], axis=1)
                 each = np.bincount(rows, np.repeat(pull / lengths, lengths), BUCKETS)
@@ -171,7 +180,7 @@ class SubwordBag:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SubwordBag:
-    """Fit on at most SAMPLE_ROWS labelled texts of at most SAMPLE_BYTES bytes, none of them held out."""
+    """Fit on at most SAMPLE_ROWS labelled texts, none of them held out; of a longer one on a window of SAMPLE_BYTES bytes."""
     picks = labels.where(split_column(id_col, SPLIT) != HELD).select(id_col, label_col)
     return SubwordBag().fit(labelled_sample(docs, picks, id_col, text_col, label_col, SAMPLE_ROWS, SAMPLE_BYTES))
 
@@ -180,7 +189,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, held_out, score and predicted of each row.
 
     A null text and a text without words get the score of no words; a null id is scored all the same; null
-    labels are not learned from; without labels that can be learned every text scores about zero and none is toxic.  Repeated rows stay
+    labels are not learned from; without learnable labels of both
+    classes every text scores about zero and none is toxic.  Repeated rows stay
     repeated, other columns are not read, an empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
@@ -196,7 +206,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, model: SubwordBag, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score under the threshold, with all their columns; nothing is shuffled."""
+    """The rows that score under the threshold, with all their columns; nothing is shuffled.
+
+    A null text, and one without words, has the score of no words; null ids stay as they are, repeated rows
+    stay or go together, an empty table gives an empty one.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches):
