@@ -89,18 +89,76 @@ def test_recall_at_the_most_edits():
 
 
 def test_unrelated_windows_are_discarded():
-    """Padding after both walks is no agreement: windows that share no word with the item don't survive."""
-    rng = np.random.default_rng(0)
-    for n in (10, 30, 100):
-        items = decontaminate.Items([(1, " ".join(f"w{k}" for k in range(n)))])
-        windows = rng.integers(3, 1 << 63, (200, n), dtype=np.uint64)
-        assert not items.survivors(np.zeros(200, np.int64), windows).any()
+    """Texts of the items' own words in another order: no word is unknown, so the buckets alone reject."""
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(15, 60)))) for k in range(100)]
+    search = decontaminate.Items(items)
+    assert not any(search.search([" ".join(rnd.choice(words) for _ in range(2000)) for _ in range(20)]))
+    assert search.counts["windows"] > 15_000 and search.counts["met"] < 0.01 * search.counts["windows"]
 
 
-def test_item_blocks_and_whole_tables(spark):
+def test_most_windows_of_the_tables_are_discarded(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    search = decontaminate.Items([tuple(r) for r in items.select("item_id", "text").collect()])
+    held = search.search([r.text for r in docs.collect()])
+    assert any(held) and search.counts["met"] < 0.05 * search.counts["windows"]
+
+
+def test_padding_is_no_agreement():
+    """Texts and items that end early stand still on different marks."""
+    search = decontaminate.Items([(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate((1, 2, 3, 10, 30))])
+    assert not any(search.search(["", None, "i9", "i0", "i1x0", "i2x0 i2x2", "i3x0 " * 3])) and search.counts["met"] <= 2
+
+
+def test_matches_at_borders_and_in_other_segments(monkeypatch):
+    """Each text alone, all at once, and in small segments give the same matches."""
+    rnd = random.Random(7)
+    items = [(k, " ".join(rnd.choice(VOCABULARY) for _ in range(n))) for k, n in enumerate((1, 2, 6, 12, 20, 33, 59))]
+    texts = [None, "", *(" ".join(rnd.choice(VOCABULARY) for _ in range(rnd.randrange(40))) for _ in range(10))]
+    texts += [t for _, t in items] + [" ".join(edited(rnd, t.split(), 1)) for _, t in items if len(t.split()) >= 6] + [" ".join(t for _, t in items)]
+    alone = [decontaminate.Items(items).search([t])[0] for t in texts]
+    assert [{m[0] for m in a} >= {k} for k, a in enumerate(alone[12:19])] == [True] * 7 and len(alone[-1]) == 7
+    at_once = decontaminate.Items(items).search(texts)
+    assert [{m[0]: m[3] for m in a if m[3] == 0} for a in at_once] == [{m[0]: m[3] for m in a if m[3] == 0} for a in alone]
+    monkeypatch.setattr(decontaminate, "SEGMENT", 64)
+    assert decontaminate.Items(items).search(texts) == at_once
+    assert [bool(m) for m in decontaminate.Items(items).search(texts, any_match=True)] == [bool(m) for m in at_once]
+
+
+def test_one_very_long_item():
+    """An item of 20,000 words beside short ones, in a process of its own to see its memory."""
+    import subprocess
+    import sys
+
+    program = """
+import random, resource
+from turnstone.llm import decontaminate
+rnd = random.Random(9)
+long = [f"w{rnd.randrange(9000)}" for _ in range(20_000)]
+items = [(0, " ".join(long))] + [(k, " ".join(f"w{rnd.randrange(9000)}" for _ in range(30))) for k in range(1, 200)]
+search = decontaminate.Items(items)
+text = ["a", "b", *long, "c"]
+for _ in range(200):
+    text[rnd.randrange(3, 20_000)] = "x"
+found = search.search([" ".join(text), items[3][1]])
+print([m[0] for m in found[0]], [m[0] for m in found[1]], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=600, check=True).stdout.split()
+    assert said[:2] == ["[0]", "[3]"] and int(said[2]) < 500
+
+
+def test_item_blocks_and_whole_tables(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     blocks = list(decontaminate.item_blocks(items, "item_id", "text", 300))
     assert len(blocks) > 3 and sum(map(len, blocks)) == items.count()
+    one = decontaminate.find_leaks(docs, items).collect()
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda *a: iter(blocks))
+    several = decontaminate.find_leaks(docs, items).collect()
+    exact = lambda rows: sorted(tuple(r) for r in rows if r.edits == 0)
+    assert exact(several) == exact(one)
+    assert len(decontaminate.without_leaks(docs, items).columns) == len(docs.columns)
+    monkeypatch.undo()
     contained = {(d.doc_id, b.item_id) for d in docs.collect() for b in items.collect() if b.text in d.text}
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
     assert contained <= found
