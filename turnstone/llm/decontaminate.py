@@ -39,8 +39,9 @@ WALKS, REPEATS, SAMPLES = 10, 16, 4
 STEPS_A_WORD = 1.6  # a walk moves on at every other step
 SIZE_RATIO, STRIDES = 1.5, 3
 TARGET_RECALL = 0.99  # of windows at the largest permitted number of edits; tests measure it
-BLOCK_WORDS = 200_000  # words of the items of one block
+BLOCK_WORDS = 100_000  # words of the items of one block
 SEGMENT, STARTS = 1 << 17, 1 << 13  # words of the texts that are searched at once, windows embedded at once
+KEPT_TABLES = 1000
 OTHER, BREAK, END = 0, 1, 2  # words that no item has, the border of two texts, the end of an item
 WORDS = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, item_words int, start_word long, n_words int, edits int, similarity double"
@@ -103,7 +104,7 @@ class Buckets:
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys, kind="stable")
         self.sorted = keys[self.order]
-        size = min(26, max(14, (16 * len(keys)).bit_length()))
+        size = min(26, max(14, ((64 if len(keys) < 4096 else 8) * len(keys)).bit_length()))
         self.shift = np.uint32(32 - size)
         self.bitmap = np.zeros(1 << size, bool)
         self.bitmap[keys >> self.shift] = True
@@ -112,8 +113,10 @@ class Buckets:
         """(window, entry) that share a bucket's number."""
         windows = np.flatnonzero(self.bitmap[keys >> self.shift])
         keys = keys[windows]
-        low, high = np.searchsorted(self.sorted, keys), np.searchsorted(self.sorted, keys, "right")
-        many = high - low
+        low = np.searchsorted(self.sorted, keys)
+        there = np.flatnonzero(self.sorted[np.minimum(low, len(self.sorted) - 1)] == keys)
+        windows, low = windows[there], low[there]
+        many = np.searchsorted(self.sorted, keys[there], "right") - low
         index = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return np.repeat(windows, many), self.order[index]
 
@@ -199,6 +202,7 @@ class Items:
             self.bands.append(Band(todo[:n], self.sizes, self.edits, places, flat, self.walks, 11 + len(self.bands)))
             todo = todo[n:]
         self.reach = max((b.reach() for b in self.bands), default=0)
+        self.own: dict[int, np.ndarray] = {}  # which words an item has
         self.counts = {"windows": 0, "met": 0}  # of windows embedded, and of pairs of window and item that were to be verified
 
     def hashes(self, text: str | None) -> np.ndarray:
@@ -266,7 +270,14 @@ class Items:
         k, size = int(self.edits[item]), int(self.sizes[item])
         low = max(0, first - k)
         region = words[low : max(0, last + size + k)]
-        if np.isin(region, self.words[item]).sum() < size - k:
+        own = self.own.get(item)
+        if own is None:
+            own = np.zeros(len(self.vocabulary) + 3, bool)
+            own[self.words[item]] = True
+            if len(self.own) >= KEPT_TABLES:
+                self.own.clear()
+            self.own[item] = own
+        if np.count_nonzero(own[region]) < size - k:  # too few of the item's words to match
             return
         found = least_edits(self.words[item], region, k)
         if found:
