@@ -257,8 +257,39 @@ def test_keep_one(spark):
     found = neardup.near_duplicates(docs).collect()
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in found})
     assert neardup.keep_one(docs.limit(0)).count() == neardup.near_duplicates(docs.limit(0)).count() == 0
-    twice = spark.createDataFrame([(1, "a b c d", "en"), (1, "a b c d", "en"), (None, "x y z", "en"), (2, None, None)], "doc_id long, text string, lang string")
-    assert sorted(map(repr, (r.doc_id for r in neardup.keep_one(twice).collect()))) == ["1", "2", "None"]
+    for similarity in (None, 0.8):
+        keep = lambda rows, schema: sorted((repr(tuple(r)) for r in neardup.keep_one(spark.createDataFrame(rows, schema), similarity=similarity).collect()))
+        schema = "doc_id long, text string, lang string"
+        # equal rows become one; a text under a null id goes where a named one has it, and stays where none has
+        assert keep([(1, "a b c d", "en"), (1, "a b c d", "en"), (None, "x y z", "en"), (None, "a b c d", "en"), (2, None, None), (3, " ", None)], schema) == sorted(map(repr, [(1, "a b c d", "en"), (None, "x y z", "en"), (2, None, None)]))
+        # different texts under one id are different documents
+        different = [(1, "one two three four five six", "en"), (1, "quite another text of seven words here", "en"), (2, "one two three four five six", "de")]
+        assert keep(different, schema) == sorted(map(repr, different[:2])) == keep(different[::-1], schema)
+        # of equal ids and texts the same row stays, whatever the order
+        rows = [(1, "a b c d", x) for x in ("p", "q", None, "r")]
+        assert keep(rows, schema) == keep(rows[::-1], schema) and len(keep(rows, schema)) == 1
+        clash = [(1, "a b c", 1, 2, {"k": 1}), (2, "a b c", 3, 4, None), (5, "d e f", 5, 6, {})]
+        assert len(keep(clash, "doc_id long, text string, __kept int, fp int, `at` map<string,int>")) == 2
+
+
+def test_pivots_discard_pairs(spark):
+    """In the buckets of the ten keys the free pivots alone discard nearly all pairs that lie too far apart."""
+    rnd = random.Random(12)
+    near = lambda x, most: x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(most + 1)))
+    prints = {near(c, 8) for c in (rnd.getrandbits(64) for _ in range(150)) for _ in range(8)} | {rnd.getrandbits(64) for _ in range(500)}
+    table = neardup.pivot_table(spark.createDataFrame([(neardup._SIGNED(p),) for p in prints], "fp long"))
+    rows = [(r.fp, r.keys, (r.t0, r.t1)) for r in table.collect()]
+    distances = lambda t: [t[k // 8] >> 7 * (k % 8) & 127 for k in range(16)]
+    buckets = {}
+    for fp, keys, t in rows:
+        for key in keys:
+            buckets.setdefault(key, set()).add((fp, t))
+    pairs = {(a, b) for m in buckets.values() for a in m for b in m if a < b}
+    apart = lambda a, b: ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count()
+    discarded = {(a, b) for a, b in pairs if max(abs(x - y) for x, y in zip(distances(a[1]), distances(b[1]))) > neardup.RADIUS}
+    far = {(a, b) for a, b in pairs if apart(a, b) > neardup.RADIUS}
+    assert len(pairs) < 0.01 * len(prints) ** 2  # the keys' pivots have discarded the others
+    assert discarded <= far and len(discarded) > 0.6 * len(far) > 100
 
 
 @pytest.mark.parametrize("few", [neardup.FEW, 3])

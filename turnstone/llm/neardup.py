@@ -20,16 +20,18 @@ such a point, and no point can have more than 65 fingerprints, however large the
 Components come from minimum labels with pointer jumping over links whose degrees are bounded.
 
 Near copies by similarity (``similarity`` given, as the pipeline does) lie many bits apart, so they are
-found another way: texts with the same set of shingles are one class; the sets' min-hashes, ``MIN_ROWS``
-to a key, place each class under ``BANDS`` keys, and classes that meet are verified by the similarity
-(Jaccard) of their own shingles.  Two sets of similarity 0.8 miss all keys once in 40,000 times, nearer ones
-less often.  Fuller keys are joined with the next keys and compared again, see `similar_pairs`.
+found another way: texts with the same set of shingles are one class; min-hashes of the sets place each class under
+keys, and classes that meet are verified by the similarity (Jaccard) of their own shingles.  Only components
+matter, so each class under a key is first compared with the least one there, and then only classes that are still in
+different components are.  Keys of over ``FEW`` classes in different components go on to keys of more rows, of which
+there are so many that recall stays: see ``LEVELS``.
 """
 
 from __future__ import annotations
 
 import itertools
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
 FEW = 64
 NEAR_SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle and least similarity of near copies
-BANDS, MIN_ROWS, LEVELS = 20, 4, 5
+LEVELS = ((4, 20), (8, 60), (12, 160))  # min-hashes to a key, keys: two sets of similarity 0.8 miss all of a level once in 40,000 times or less often
 BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
 BLOCK_PIVOTS, FREE_PIVOTS = 8, 16
 _RANDOM = random.Random(20240501)
@@ -50,8 +52,9 @@ BASE = _RANDOM.getrandbits(64)
 IN_BLOCK = [[BASE ^ sum(1 << b for b in block if _RANDOM.random() < 0.5) for _ in range(BLOCK_PIVOTS)] for block in BLOCKS]
 FREE = [_RANDOM.getrandbits(64) for _ in range(FREE_PIVOTS)]
 KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
-_TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(BANDS * MIN_ROWS)], np.uint64)
-_PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(BANDS * MIN_ROWS)], np.uint64)
+_MOST = max(rows * bands for rows, bands in LEVELS)
+_TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(_MOST)], np.uint64)
+_PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(_MOST)], np.uint64)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -146,75 +149,45 @@ def links(classes: DataFrame, n: int) -> DataFrame:
     return keep(found.distinct(), "links", 8 * buckets.count())
 
 
-def set_keys(text: str | None, size: int = NEAR_SHINGLE) -> tuple[int, int, list[int]]:
+def set_keys(text: str | None, size: int = NEAR_SHINGLE, level: int = 0) -> tuple[int, int, list[int]]:
     """A digest of a text's set of shingles, their number, and the keys of its min-hashes; without words none."""
     from xxhash import xxh64_intdigest
 
     found = set(shingles(text, size))
     if not found:
         return 0, 0, []
+    rows, bands = LEVELS[level]
     hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
-    least = np.full(len(_TIMES), np.uint64((1 << 64) - 1))
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _TIMES + _PLUS).min(axis=0))
-    bands = least.reshape(BANDS, MIN_ROWS)
-    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), [_SIGNED(xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(bands)]
+    least = np.full(rows * bands, np.uint64((1 << 64) - 1))
+    at_once = (1 << 18) // len(least)
+    for at in range(0, len(hashes), at_once):
+        least = np.minimum(least, (hashes[at : at + at_once, None] * _TIMES[: len(least)] + _PLUS[: len(least)]).min(axis=0))
+    keys = [_SIGNED(xxh64_intdigest(b.tobytes(), 1000 * level + k)) for k, b in enumerate(least.reshape(bands, rows))]
+    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), keys
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, fp (the digest of the set), n (its size), keys, text."""
-    bound_batches(docs.sparkSession)
+def shingle_sets(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
+    """at, fp (the digest of the set), n (its size), keys of rows of at and text."""
+    bound_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = [set_keys(t, size) for t in batch.column(1).to_pylist()]
+            found = [set_keys(t, size, level) for t in batch.column(1).to_pylist()]
             columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[], [], []], (pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(1)], names=["doc_id", "fp", "n", "keys", "text"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n int, keys array<long>, text string")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "fp", "n", "keys"])
 
-def similar_pairs(table: DataFrame, similarity: float) -> DataFrame:
-    """a, b (rows' ``at``): pairs of classes to verify; ``table`` has at, n, keys.
+    return texts.select("at", "text").mapInArrow(run, "at long, fp long, n int, keys array<long>")
 
-    All pairs that meet under a key of at most FEW classes.  In a fuller key each class is paired with
-    the least, and the key is joined with the class's next one: this makes smaller keys, and so on for
-    up to LEVELS keys, after which near copies differ so little that the least ones link them.
-    """
-    rows = keep(table.select("at", "n", "keys", F.posexplode("keys").alias("band", "key")).select("at", "n", "keys", "band", "key"), "set-keys")
-    row, out = F.struct("at", "n"), None
-    near = lambda a, b: F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(similarity)
-    for level in range(1, LEVELS + 1):
-        buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(row).alias("least")).where("m > 1"), "set-buckets")
-        some = buckets.where(f"m <= {FEW}").select("key")
-        members = rows.join(some, "key").groupBy("key").agg(F.collect_list(row).alias("m"))  # at most FEW of them
-        pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b["at"] > a["at"]) & near(a, b)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
-        found = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-        full = buckets.where(f"m > {FEW}").select("key", "least")
-        hot = full.count()
-        if hot:
-            crowd = keep(rows.join(F.broadcast(full) if hot <= 1 / HOT_SHARE else full, "key"), "set-crowds")
-            star = crowd.where((F.col("at") != F.col("least.at")) & near(F.col("least"), row))
-            found = found.unionByName(star.select(F.least("at", "least.at").alias("a"), F.greatest("at", "least.at").alias("b")))
-            rows = crowd.select("at", "n", "keys", "band", F.xxhash64("key", F.col("keys")[(F.col("band") + level) % BANDS]).alias("key"))
-        found = keep(found.distinct(), "set-pairs")
-        out = found if out is None else out.unionByName(found)
-        if not hot:
-            break
-    return out.distinct()
 
-
-def similar_links(sets: DataFrame, size: int, similarity: float) -> DataFrame:
-    """a, b: digests of sets of at least this similarity; ``sets`` has at, fp, n, keys and text."""
-    first = keep(sets.groupBy("fp").agg(F.min("at").alias("at")).select("at"), "set-classes")
-    pairs = keep(similar_pairs(sets.select("at", "n", "keys").join(first, "at", "left_semi"), similarity), "set-pairs")
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have sets of shingles of at least this similarity."""
+    pairs = keep(pairs.distinct(), "set-pairs")
     wanted = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
-    texts = keep(sets.select("at", "fp", "text").join(wanted, "at", "left_semi"), "set-texts")
+    texts = keep(texts.join(wanted, "at", "left_semi"), "set-texts")
     total = pairs.count()
-    for end in ("a", "b"):
+    for end in ("b", "a"):  # the pairs of one a come together
         hot = [r[end] for r in pairs.groupBy(end).count().where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
-        pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("fp").alias(f"{end}_fp"), F.col("text").alias(f"{end}_text")), end, hot, "inner")
+        pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("text").alias(f"{end}_text")), end, hot, "inner")
 
     def run(batches):
         last, own = None, set()
@@ -228,8 +201,39 @@ def similar_links(sets: DataFrame, size: int, similarity: float) -> DataFrame:
                 linked.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    found = pairs.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_text", "b_text").mapInArrow(run, "a long, b long")
-    return keep(found, "links")
+    return keep(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "set-links", total)
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: links whose components are those of all sets of at least this similarity.
+
+    ``sets`` has at, n and keys of one row for each set, ``texts`` at and text.
+    """
+    links, crowd, few = None, None, F.col("m") <= FEW
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+    for level in range(len(LEVELS)):
+        if crowd is not None:
+            sets = keep(shingle_sets(texts.join(crowd, "at", "left_semi"), size, level), "set-keys")
+        rows = sets.select("at", "n", F.explode("keys").alias("key"))
+        buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
+        total = sets.count()
+        hot = [r.key for r in buckets.where(F.col("m") > max(1.0, HOT_SHARE * total * LEVELS[level][1])).collect()] if total > 1 / HOT_SHARE else []
+        members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
+        star = members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"))
+        found = verified(star, texts, size, similarity)
+        links = found if links is None else links.unionByName(found)
+        labels = keep(components(links), "set-labels")
+        named = members.join(labels.withColumnRenamed("v", "at"), "at", "left").select("key", "at", "n", "m", F.coalesce("root", "at").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("m").alias("m")).where("lo <> hi").select("key")
+        named = keep(named.join(mixed, "key", "left_semi"), "set-mixed")
+        row = F.struct("at", "n", "label")
+        together = named.where(few).groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
+        pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"])), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
+        links = links.unionByName(verified(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), texts, size, similarity))
+        crowd = keep(named.where(~few).select("at").distinct(), "set-crowd")
+        if not crowd.head(1):
+            break
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,25 +255,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("v", "l")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links).
 
-    Links are fingerprints within RADIUS bits, or with ``similarity`` sets of shingles that are as
-    similar at least; the fingerprint is then a digest of the set.
-
-    A null or blank text has fingerprint zero and is linked like any other.  A null id takes part
-    and never becomes a component id; a component of null ids alone has none.  Repeated rows stay
-    repeated.  Other columns are not read, an empty table gives an empty one.
+    Links are fingerprints within RADIUS bits.  A null or blank text has fingerprint zero and is linked like any
+    other.  A null id takes part and never becomes a component id; a component of null ids alone has none.
+    Repeated rows stay repeated.  Other columns are not read, an empty table gives an empty one.
     """
-    if similarity is None:
-        rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    else:
-        sets = keep(shingle_sets(docs, id_col, text_col, size).withColumn("at", F.monotonically_increasing_id()), "shingle-sets")
-        rows = sets.select("doc_id", "fp")
+    rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
     total = rows.count()
     classes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes", total)
-    found = links(classes, total) if similarity is None else similar_links(sets, size, similarity)
-    roots = components(found).withColumnRenamed("v", "fp")
+    roots = components(links(classes, total)).withColumnRenamed("v", "fp")
     placed = roots.join(classes, "fp").select("fp", "root", "first")
     least = keep(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "components", total)
     share = max(1.0, HOT_SHARE * total)  # few keys are hot in small tables too
@@ -282,11 +278,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of one document of each component, the one whose id names it; columns as they were.
+    """One row of each group of near copies, with its columns as they were.
 
-    Of rows that repeat this id one stays.  Rows with a null id stay: nothing names them.
+    A group is a component of rows whose fingerprints are within RADIUS bits, or with ``similarity`` whose
+    sets of shingles are as similar at least.  The row of the smallest id stays, a null id only if there is no
+    other; of rows of equal id the one whose text, then whose whole row, has the least hash.  So different texts
+    under one id stay if they are in different groups, and equal rows become one.  Texts without words are one group.
+    An empty table gives an empty one; columns may have any names.
     """
-    found = near_duplicates(docs, id_col, text_col, size, similarity)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    mark = f"at_{uuid.uuid4().hex}"  # no column can have this name
+    held = keep(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    text = F.col(text_col).cast("string")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    whole = F.xxhash64(*(F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, (_, t) in zip(quoted, docs.dtypes)))
+    order = held.select(F.col(mark).alias("at"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text"), whole.alias("whole"), F.col(mark).alias("at")).alias("order"))
+    texts = held.select(F.col(mark).alias("at"), text.alias("text"))
+    if similarity is None:
+        rows = keep(fingerprints(texts, "at", "text", size).withColumnRenamed("doc_id", "at"), "fingerprints")
+    else:
+        sets = keep(shingle_sets(texts, size), "shingle-sets")
+        rows = sets.select("at", "fp")
+    classes = keep(rows.join(order, "at").groupBy("fp").agg(F.min("order").alias("first"), F.min("at").alias("at")), "classes")
+    if similarity is None:
+        roots = components(links(classes.select("fp"), classes.count())).withColumnRenamed("v", "fp")
+        placed = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    else:
+        once = sets.join(classes.select("at"), "at", "left_semi")
+        roots = components(similar_links(keep(once.select("at", "n", "keys"), "set-classes"), texts, size, similarity)).withColumnRenamed("v", "at")
+        placed = classes.join(roots, "at", "left").select("first", F.coalesce("root", "at").alias("root"))
+    stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    go = keep(rows.select("at").join(stay, "at", "left_anti"), "rows-to-go", rows.count())  # fewer than those that stay
+    return held.join(go.withColumnRenamed("at", mark), mark, "left_anti").select(*quoted)
