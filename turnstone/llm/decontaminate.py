@@ -40,7 +40,7 @@ STEPS_A_WORD = 1.6  # a walk moves on at every other step
 SIZE_RATIO, STRIDES = 1.5, 3
 TARGET_RECALL = 0.99  # of windows at the largest permitted number of edits; tests measure it
 BLOCK_WORDS = 100_000  # words of the items of one block
-SEGMENT, STARTS = 1 << 17, 1 << 13  # words of the texts that are searched at once, windows embedded at once
+SEGMENT, STARTS = 1 << 17, 1 << 12  # words of the texts that are searched at once, windows embedded at once
 KEPT_TABLES = 1000
 OTHER, BREAK, END = 0, 1, 2  # words that no item has, the border of two texts, the end of an item
 WORDS = re.compile(r"\w+")
@@ -99,26 +99,31 @@ def cgk(words: np.ndarray, starts: np.ndarray, steps: np.ndarray, walk: Walk, kn
 
 
 class Buckets:
-    """The entries of one repetition, by the sum of their sampled words, each times its sample's factor."""
+    """The entries of one walk by bucket: for each repetition, the sum of the sampled words, each times its sample's factor."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
-        self.sorted = keys[self.order]
-        size = min(26, max(14, ((64 if len(keys) < 4096 else 8) * len(keys)).bit_length()))
+        repeats, n = keys.shape
+        self.base = np.arange(repeats, dtype=np.uint32)[:, None]
+        numbered = (self.base.astype(np.uint64) << np.uint64(32) | keys).ravel()
+        order = np.argsort(numbered, kind="stable")
+        self.sorted, self.order = numbered[order], (order % n).astype(np.int32)
+        size = min(24, max(12, ((64 if n < 4096 else 8) * n).bit_length()))
         self.shift = np.uint32(32 - size)
-        self.bitmap = np.zeros(1 << size, bool)
-        self.bitmap[keys >> self.shift] = True
-
-    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, entry) that share a bucket's number."""
-        windows = np.flatnonzero(self.bitmap[keys >> self.shift])
-        keys = keys[windows]
-        low = np.searchsorted(self.sorted, keys)
-        there = np.flatnonzero(self.sorted[np.minimum(low, len(self.sorted) - 1)] == keys)
-        windows, low = windows[there], low[there]
-        many = np.searchsorted(self.sorted, keys[there], "right") - low
+        self.base <<= np.uint32(size)
+        self.bitmap = np.zeros(repeats << size, bool)
+        self.bitmap[self.base + (keys >> self.shift)] = True
+
+    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(repetition, window, entry) that share a bucket's number."""
+        there = np.flatnonzero(np.take(self.bitmap, (keys >> self.shift) + self.base))
+        numbered = (there // keys.shape[1]).astype(np.uint64) << np.uint64(32) | keys.ravel()[there]
+        low = np.searchsorted(self.sorted, numbered)
+        same = np.flatnonzero(self.sorted[np.minimum(low, len(self.sorted) - 1)] == numbered)
+        there, low = there[same], low[same]
+        many = np.searchsorted(self.sorted, numbered[same], "right") - low
         index = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(windows, many), self.order[index]
+        repeat, window = np.divmod(np.repeat(there, many), keys.shape[1])
+        return repeat, window, self.order[index]
 
 
 class Band:
@@ -127,8 +132,9 @@ class Band:
     def __init__(self, members: np.ndarray, sizes: np.ndarray, edits: np.ndarray, places: np.ndarray, words: np.ndarray, walks: list[Walk], seed: int):
         least = int(sizes[members].min())
         self.stride = max(1, least // STRIDES)
-        self.most_edits = int(edits[members].max())
-        self.inside = max(1, least - self.stride - self.most_edits)  # words from a window's start that are part of any match
+        # words from a window's start that are part of any match of an item of some size, and how many of them may be edited
+        inside = {(max(1, int(n - self.stride - k + 1)), int(k)) for n, k in zip(sizes[members], edits[members])}
+        self.inside = [(w, k) for w, k in sorted(inside) if not any(v <= w and j >= k and (v, j) != (w, k) for v, j in inside)]
         steps = max(1, int(STEPS_A_WORD * (least - self.stride + 1)))
         rng = np.random.default_rng(seed)
         # each sample from its own part of the steps: then they rarely fall on one word
@@ -145,16 +151,15 @@ class Band:
         for number, walk in enumerate(walks):
             columns = cgk(words, places[self.item] + self.offset, self.steps[number], walk, {})
             self.sampled.append(columns)
-            self.buckets.append([Buckets(keys) for keys in self.keys(columns, number)])
-
-    def keys(self, columns: np.ndarray, number: int):
-        """The bucket numbers of each repetition of a walk."""
-        columns = columns * self.factors[number]
-        for at in self.at[number]:
-            key = columns[at[0]]
-            for k in at[1:]:
-                key = key + columns[k]
-            yield key
+            self.buckets.append(Buckets(self.keys(columns, number)))
+
+    def keys(self, columns: np.ndarray, number: int) -> np.ndarray:
+        """The bucket numbers of a walk: repetitions x starts."""
+        columns, at = columns * self.factors[number], self.at[number]
+        out = columns[at[:, 0]]
+        for k in range(1, SAMPLES):
+            out += columns[at[:, k]]
+        return out
 
     def reach(self) -> int:
         return max(int(s[-1]) for s in self.steps) + 1
@@ -162,8 +167,10 @@ class Band:
     def starts(self, place: np.ndarray, unknown: np.ndarray) -> np.ndarray:
         """Windows with few enough unknown words; ``place`` counts words from each text's begin, ``unknown`` unknown ones."""
         found = np.flatnonzero((place % self.stride == 0) & (place >= 0))
-        ends = np.minimum(found + self.inside, len(unknown) - 1)
-        return found[unknown[ends] - unknown[found] <= self.most_edits]
+        few = np.zeros(len(found), bool)
+        for words, edits in self.inside:
+            few |= unknown[np.minimum(found + words, len(unknown) - 1)] - unknown[found] <= edits
+        return found[few]
 
     def meet(self, words: np.ndarray, starts: np.ndarray, number: int, walk: Walk, known: dict[int, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(start, entry) that are in the same bucket of some repetition of one walk."""
@@ -171,11 +178,11 @@ class Band:
         for k in range(0, len(starts), STARTS):
             some = starts[k : k + STARTS]
             columns = cgk(words, some, self.steps[number], walk, known)
-            for at, bucket, keys in zip(self.at[number], self.buckets[number], self.keys(columns, number)):
-                windows, entries = bucket.meet(keys)
-                if len(windows):  # the same words, not just the same number
-                    same = (columns[at[:, None], windows] == self.sampled[number][at[:, None], entries]).all(axis=0)
-                    out.append((some[windows[same]], entries[same]))
+            repeats, windows, entries = self.buckets[number].meet(self.keys(columns, number))
+            if len(windows):  # the same words, not just the same number
+                at = self.at[number][repeats]
+                same = (columns[at, windows[:, None]] == self.sampled[number][at, entries[:, None]]).all(axis=1)
+                out.append((some[windows[same]], entries[same]))
         return out
 
 
