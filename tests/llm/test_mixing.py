@@ -43,7 +43,7 @@ def check(rows, found):
         ratio = r.target / r.source_size if r.source_size else 0
         assert r.size == 0 or int(ratio - 1e-9) * r.size <= r.taken <= (int(ratio + 1e-9) + 1) * r.size
         taken[r.source] += r.taken
-        most[r.source] = max(most[r.source], r.size * sum(1 for x in rows if x[0] == r.doc_id and x[2] == r.source))
+        most[r.source] = max(most[r.source], r.size)
     for s in sizes:
         assert abs(taken[s] - target[s]) <= most[s] + 1e-6
 
@@ -66,6 +66,32 @@ def test_skewed_and_odd_sources(spark, seed):
     check(rows, mixing.mix(docs, seed=seed).collect())
 
 
+def test_repeated_rows_are_rounded_among_themselves(spark):
+    """A thousand equal rows, over half of their source, take about their share, not all or none of it."""
+    rows = [(7, " ".join(["w"] * 20), "a")] * 1000 + [(8, "x y z", "a")] * 40 + [(9, "x y z v", "a"), (None, "q r", "a"), (None, "q r", "a")]
+    rows += [(k, " ".join(["v"] * (1 + k % 30)), "b") for k in range(100, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    check(rows, found)
+    assert len({r.copies for r in found if r.doc_id == 7}) == 2
+    again = mixing.mix(docs.repartition(9)).collect()
+    key = lambda r: (repr(r.doc_id), r.size, r.taken)
+    assert sorted(map(key, found)) == sorted(map(key, again))
+    assert Counter(r.doc_id for r in mixing.repeat(docs).collect())[7] == sum(r.copies for r in found if r.doc_id == 7)
+
+
+def test_repeat_of_clashing_names_and_empty_tables(spark):
+    schema = "doc_id long, text string, source string, __copy int, __size int, copies int, at long, size long, `key` string, `a.b` int"
+    rows = [(k, f"w{k} x", "ab"[k % 2], 1, 2, 3, 4, 5, "k", k) for k in range(30)] + [(None, "n n n", None, None, None, None, None, None, None, None), (50, None, "a", 1, 1, 1, 1, 1, "z", 1), (51, "", "a", 1, 1, 1, 1, 1, "z", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.repeat(docs)
+    assert out.columns == docs.columns
+    copies = Counter((r.doc_id, r.copies) for r in mixing.mix(docs).collect())
+    assert Counter(r.doc_id for r in out.collect()) == Counter({i: c for i, c in copies if c}) and {50, 51}.isdisjoint(r.doc_id for r in out.collect())
+    assert set(map(tuple, out.collect())) <= set(rows)
+    assert mixing.repeat(docs.limit(0)).count() == 0 and mixing.repeat(docs.limit(0)).columns == docs.columns
+
+
 def test_expectations(spark):
     """Over many seeds a document is taken as often as its source's ratio says."""
     rows = [(k, " ".join(["w"] * (1 + k % 9)), "ab"[k % 2]) for k in range(60)]

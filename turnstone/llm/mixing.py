@@ -10,10 +10,15 @@ The pairs form a reduction tree: the units of a source are dealt to blocks of ab
 by a hash, each block is folded to at most one unit that is still fractional, and these go on to the
 next level until one is left, which is rounded alone.  A level is one grouped aggregation of bounded
 groups; random numbers are hashes of ids and level, so reruns agree whatever the partitioning.
+
+Equal rows are one unit: of c rows that are each to be taken p times more, the whole part of c p are, and only
+the rest is rounded.  The rows that are taken are told from the others by their numbers in the unit.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +26,7 @@ from turnstone.llm.common import HOT_SHARE, join_hot, keep
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a source is repeated so many times at most
-BLOCK = 64
+BLOCK, SALTS = 64, 1024
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word
 
 
@@ -85,17 +90,14 @@ def _fold(units: Column, level: int, seed: int) -> Column:
 
 
 def pivotal_round(units: DataFrame, seed: int, biggest: int, at_most: int, block: int = BLOCK) -> DataFrame:
-    """source, key, up (0 or 1) of units (source, n, key, p, w) with p in (0, 1) and w over 0.
+    """source, key, up (0 or 1) of units (source, n, key, p, w) with p in (0, 1) and w over 0, each key once a source.
 
-    ``n`` is the number of units of the source or more, ``biggest`` the largest n, ``at_most`` their sum.  Rows of equal
-    source and key are one unit of their joint weight.
+    ``n`` is the number of units of the source or more, ``biggest`` the largest n, ``at_most`` their sum.
     """
     done, level, size, now = [], 0, block, units
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / size))
         now = now.withColumn("b", F.pmod(F.xxhash64("key", F.lit(level), F.lit(seed)), blocks))
-        # one shuffle: both aggregations find their rows together
-        now = now.repartition("source", "b").groupBy("source", "b", "key").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sum("w").alias("w"))
         # heavy units first: what stays fractional is light
         listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "key", "p", "w"))), lambda u: F.struct(u["key"].alias("key"), u["p"].alias("p"), u["w"].alias("w")))
         folded = now.groupBy("source", "b").agg(F.first("n").alias("n"), listed.alias("u")).select("source", "n", _fold(F.col("u"), level, seed).alias("f"))
@@ -113,41 +115,83 @@ def pivotal_round(units: DataFrame, seed: int, biggest: int, at_most: int, block
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of each row.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """at, number: rows (at, skey, key) numbered from 1 in each key, in SALTS parts that no task needs to see together."""
+    rows = keep(rows.select("at", "skey", "key", F.pmod("at", F.lit(SALTS)).alias("salt")), "repeated-rows")
+    parts = rows.groupBy("skey", "key", "salt").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("skey", "key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows at most
+    parts = parts.select("skey", "key", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("skey", "key", "salt").orderBy("at"))
+    return rows.withColumn("own", own).join(parts, ["skey", "key", "salt"]).select("at", (F.col("before") + F.col("own")).alias("number"))
 
-    A null text has no words and is taken 0 times, as is any text without words.  A null source is a
-    source of its own, the last.  Rows of equal id, source and size are one unit: they are taken
-    equally often.  Null ids count as one id.  Other columns are not read, an empty table gives an
-    empty one.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"))
-    rows = keep(rows, "sizes")
+
+def _mixed(rows: DataFrame, seed: int) -> DataFrame:
+    """at, doc_id, source, size, source_size, target, copies of stored rows (at, doc_id, source, size, digest)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = keep(sizes, "source-sizes")
     totals = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("biggest")).first()
+    total = totals.n or 0
     targets = source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     targets = keep(targets, "targets")
-    named = targets.withColumn("skey", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))).withColumnRenamed("source", "named")
+    source_key = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    named = named.withColumn("r", ratio)
-    hot = [r.skey for r in sizes.where(F.col("n") > HOT_SHARE * (totals.n or 0)).select(F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).alias("skey")).collect()]
-    keyed = rows.withColumn("skey", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    placed = join_hot(keyed, named, "skey", hot)
+    named = targets.withColumn("skey", source_key).withColumnRenamed("source", "named").withColumn("r", ratio)
+    hot = [r.skey for r in sizes.where(F.col("n") > HOT_SHARE * total).select(source_key.alias("skey")).collect()]
+    placed = join_hot(rows.withColumn("skey", source_key), named, "skey", hot)
     part = F.col("r") - F.floor("r")
     part = F.when(part < 1e-12, F.lit(0.0)).when(part > 1 - 1e-12, F.lit(1.0)).otherwise(part)
-    placed = placed.withColumn("part", part).withColumn("key", F.xxhash64(F.col("doc_id"), F.col("size"), F.col("skey")))
-    units = placed.where("part > 0 and part < 1 and size > 0").select(F.col("skey").alias("source"), "n", "key", F.col("part").alias("p"), F.col("size").cast("double").alias("w"))
-    rounded = pivotal_round(units, seed, totals.biggest or 0, totals.n or 0)
-    whole = F.when(F.col("size") > 0, F.floor("r") + F.when(F.col("part") >= 1, 1).otherwise(F.coalesce("up", F.lit(0)))).otherwise(0)
-    rounded = rounded.select(F.col("source").alias("skey"), "key", "up")
-    out = placed.join(rounded, ["skey", "key"], "left").withColumn("copies", whole.cast("int"))
+    placed = placed.withColumn("part", part).withColumn("key", F.xxhash64(F.col("doc_id"), F.col("size"), F.col("skey"), F.col("digest")))
+    units = placed.where("part > 0 and part < 1 and size > 0").groupBy("skey", "key").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("part").alias("part"), F.max("size").cast("double").alias("w"))
+    whole = F.floor(F.col("c") * F.col("part") + 1e-9)
+    units = keep(units.withColumn("sure", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("c") * F.col("part") - whole)), "units", total)
+    rounded = pivotal_round(units.where("p > 1e-12").select(F.col("skey").alias("source"), "n", "key", "p", "w"), seed, totals.biggest or 0, total)
+    ups = units.join(rounded.select(F.col("source").alias("skey"), "key", "up"), ["skey", "key"], "left").select("skey", "key", "c", (F.col("sure") + F.coalesce("up", F.lit(0))).alias("ups"))
+    ups = keep(ups, "ups", total)
+    # the key alone finds a unit nearly always, the source's key makes sure
+    often = [r.key for r in ups.where(F.col("c") > max(1.0, HOT_SHARE * total)).select("key").distinct().collect()] if total > 1 / HOT_SHARE else []
+    is_often = F.col("key").isin(often) if often else F.lit(False)
+    found = placed.where(~is_often).join(ups.where(~is_often), ["skey", "key"], "left")
+    if often:
+        found = found.unionByName(placed.where(is_often).join(F.broadcast(ups.where(is_often)), ["skey", "key"], "left"))
+    more = F.when(F.col("part") >= 1, 1).when(F.col("c") == 1, F.col("ups")).otherwise(F.lit(0))
+    if units.where("c > 1").head(1):
+        repeated = keep(found.where("c > 1").select("at", "skey", "key", "ups"), "repeated", total)
+        number = _numbered(repeated)
+        taken = keep(number.join(repeated.select("at", "ups"), "at").where("number <= ups").select("at", F.lit(1).alias("extra")), "taken", total)
+        found = found.join(taken, "at", "left")
+        more = F.when(F.col("c") > 1, F.coalesce("extra", F.lit(0))).otherwise(more)
+    copies = F.when(F.col("size") > 0, F.floor("r") + F.coalesce(more, F.lit(0))).otherwise(0)
+    return found.withColumn("copies", copies.cast("int")).select("at", "doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.monotonically_increasing_id().alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text).alias("size"), F.xxhash64(text).alias("digest")]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of each row.
+
+    A null text has no words and is taken 0 times, as is any text without words.  A null source is a
+    source of its own, the last.  Rows of equal id, source and text are one unit: their copies differ by one
+    at most, and their sum is rounded like a single document's.  Null ids count as one id.  Other columns are not
+    read, an empty table gives an empty one.
+    """
+    rows = keep(docs.select(*_rows(docs, id_col, text_col, source_col)), "sizes")
+    out = _mixed(rows, seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its columns as they were."""
-    copies = mix(docs, id_col, text_col, source_col, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
-    copies = keep(copies.withColumnRenamed("copies", "__copies"), "copies", docs.count())
-    found = docs.join(copies, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")) & (words(docs[text_col].cast("string")) == F.col("__size")))
-    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    """The mix itself: each row as often as `mix` takes it, with its columns as they were.
+
+    Rows with a null text, or without words, are taken 0 times; null ids and sources, repeated rows and empty
+    tables are as in `mix`; columns may have any names.  Words are counted once, texts are shuffled once at most.
+    """
+    mark = f"row_{uuid.uuid4().hex}"  # no column can have this name
+    held = keep(docs.withColumn(mark, F.struct(*_rows(docs, id_col, text_col, source_col))), "rows")
+    found = _mixed(held.select(f"{mark}.*"), seed).where("copies > 0").select(F.col("at").alias(f"{mark}_at"), F.col("copies").alias(f"{mark}_copies"))
+    found = keep(found, "copies")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    joined = held.withColumn(f"{mark}_at", F.col(f"{mark}.at")).drop(mark).join(found, f"{mark}_at")
+    return joined.withColumn(mark, F.explode(F.array_repeat(F.lit(0), F.col(f"{mark}_copies")))).select(*quoted)
