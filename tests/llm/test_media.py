@@ -74,3 +74,19 @@ def test_near_images_have_near_hashes():
     bits = lambda raw: int(media.cosine_hash(np.frombuffer(raw, np.uint8).reshape(-1, 192)), 16)
     a, b, c = bits(text), bits(text[:900] + b"X" + text[901:]), bits(bytes(random.Random(3).randrange(256) for _ in range(192 * 30)))
     assert (a ^ b).bit_count() <= 10 < (a ^ c).bit_count()
+
+
+def test_hash_equals_the_definition():
+    """Means of a 32 x 32 grid, the discrete cosine transform summed term by term, and the median of the low frequencies."""
+    rng = np.random.default_rng(5)
+    for rows in (1, 7, media.SIDE, 45, 200):
+        samples = rng.integers(0, 256, (rows, 192), np.uint8)
+        cuts = [k * rows // media.SIDE for k in range(media.SIDE)]
+        ends = [*cuts[1:], rows]
+        wide = 192 // media.SIDE
+        grid = [[float(np.mean([float(v) for y in range(a, max(b, a + 1)) for v in samples[y, x * wide : (x + 1) * wide]])) for x in range(media.SIDE)] for a, b in zip(cuts, ends)]
+        cosine = lambda k, n: np.cos(np.pi * k * (2 * n + 1) / (2 * media.SIDE))
+        low = [round(sum(cosine(u, y) * cosine(v, x) * grid[y][x] for y in range(media.SIDE) for x in range(media.SIDE)), 6) for u in range(media.LOW) for v in range(media.LOW)]
+        middle = float(np.median(low[1:]))
+        wanted = sum(1 << (63 - k) for k, c in enumerate(low) if c > middle)
+        assert media.cosine_hash(samples) == f"{wanted:016x}"

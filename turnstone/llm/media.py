@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import bound_batches
+from turnstone.llm.common import bound_batches, keep
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed values: the PNG signature; pixels and bytes of a row
 WIDTH, SAMPLES = 64, 3
@@ -182,9 +182,9 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text as an image, read it back, return its features.
+    """Write each text as an image to a table of the shared folder, read that back, return the images' features.
 
     A null text counts as empty: one row of 192 spaces.  A null id stays null, repeated rows stay
     repeated, other columns are not read, an empty table gives an empty one.
     """
-    return media_features(encode_media(docs, id_col, text_col))
+    return media_features(keep(encode_media(docs, id_col, text_col), "media"))
