@@ -1,6 +1,7 @@
 """Archives: round trips, versions, revisits."""
 
 import base64
+from collections import Counter
 import hashlib
 
 import pytest
@@ -86,3 +87,19 @@ def test_damage_is_noticed():
 def test_page_ids_in_record_ids():
     for page in (0, 1, -1, 2**63 - 1, -(2**63), 2**62, 12345678901234):
         assert archives.page_of(archives.page_record_id(page, "ab" * 20)) == page
+
+
+def test_copies_without_ids_revisit_by_digest(spark):
+    """Thousands of copies under null ids, beside some with ids and some that nobody names."""
+    big, other = "x" * 1200, "y" * 1500
+    rows = [(None, None, big)] * 3000 + [(4, "http://a/", big), (9, "http://b/", big), (None, None, other), (None, None, other), (5, None, None), (None, "http://c/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = archives.page_archives(pages).collect()
+    kinds = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found)
+    assert kinds == Counter({(None, 1200, "revisit", 9): 3000, (4, 1200, "revisit", 9): 1, (9, 1200, "response", None): 1, (None, 1500, "response", None): 2, (5, 0, "response", None): 1, (None, 0, "response", None): 1})
+
+
+def test_conversion_of_nothing(spark):
+    assert archives.convert_arcs(spark.createDataFrame([], archives.ARCHIVES)).count() == 0
+    only_head = spark.createDataFrame([("f.arc", 1, bytearray(archives.arc_head("f.arc", 1)))], archives.ARCHIVES)
+    assert archives.convert_arcs(only_head).count() == 0

@@ -145,7 +145,11 @@ def parse_warc(content: bytes):
 
 
 def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Pages as legacy archives, of version 1 and 2 in turn."""
+    """Pages as legacy archives, of version 1 and 2 in turn.
+
+    A null html is an empty payload, a null url gets one made from the id, a null id isn't written; no pages give
+    no archives; other columns are not read.
+    """
     bound_batches(pages.sparkSession)
 
     def run(batches):
@@ -177,7 +181,7 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def read_arcs(arcs: DataFrame, with_block: bool = True) -> DataFrame:
-    """Records of legacy archives; version blocks are read, not returned."""
+    """Records of legacy archives; version blocks are read, not returned.  A record without a page id has none (null)."""
 
     def run(batches):
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
@@ -216,7 +220,10 @@ def revisits(index: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def write_warcs(records: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """ARC records, with a ``refers_to`` column, as WARC archives; each starts with a warcinfo record."""
+    """ARC records, with a ``refers_to`` column, as WARC archives; each starts with a warcinfo record.
+
+    A null ``refers_to`` makes a response; a null page id is named by its place; no records give no archives.
+    """
     columns = ["page_id", "archive", "arc_offset", "url", "ip", "archive_date", "mime", "is_http", "payload_digest", "block", "refers_to"]
     bound_batches(records.sparkSession)
 
@@ -255,7 +262,7 @@ def write_warcs(records: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataF
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
-    """One row for each response, resource or revisit record; payload digests are tested."""
+    """One row for each response, resource or revisit record; payload digests are tested, another one raises."""
 
     def run(batches):
         names = [x.split(" ")[0] for x in READ.split(", ")]
@@ -284,20 +291,24 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
 
 
 def convert_arcs(arcs: DataFrame) -> DataFrame:
-    """Legacy archives to WARC archives; later copies of a payload become revisits."""
+    """Stored legacy archives to WARC archives; later copies of a payload become revisits.
+
+    Records without a page id revisit by digest alone and are never referred to; archives without records, and an
+    empty table, give no archives.
+    """
     index = keep(read_arcs(arcs, with_block=False).select("page_id", "payload_digest", "payload_bytes"), "arc-index")
-    links = revisits(index).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to")
+    links = revisits(index)
     records = read_arcs(arcs)
-    # a page id is null or nearly unique, so no value is frequent; null ids spread by their place
-    place = F.coalesce(F.col("page_id").cast("string"), F.concat_ws("@", F.lit("none"), "archive", "arc_offset"))
-    key = F.concat_ws(":", place, "payload_digest")
-    left = records.withColumn("k", key)
-    right = links.where("p is not null").withColumn("k", F.concat_ws(":", F.col("p").cast("string"), "d")).select("k", "refers_to")
-    lone = links.where("p is null").select(F.col("d").alias("payload_digest"), F.col("refers_to").alias("lone"))
-    joined = left.join(right, "k", "left").drop("k")
-    if lone.head(1):  # records without a page id revisit by digest alone
-        joined = joined.join(lone, (joined.page_id.isNull()) & (joined.payload_digest == lone.payload_digest), "left").drop(lone.payload_digest)
-        joined = joined.withColumn("refers_to", F.coalesce("refers_to", "lone")).drop("lone")
+    # a page id is nearly unique, so no value is frequent
+    key = F.concat_ws(":", F.col("page_id").cast("string"), "payload_digest")
+    right = links.where("page_id is not null").select(key.alias("k"), "refers_to")
+    joined = records.where("page_id is not null").withColumn("k", key).join(right, "k", "left").drop("k")
+    nameless = index.where("page_id is null")
+    total = nameless.count()
+    if total:  # these may all be copies of one page
+        hot = [r.payload_digest for r in nameless.groupBy("payload_digest").count().where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
+        lone = links.where("page_id is null").select("payload_digest", "refers_to")
+        joined = joined.unionByName(join_hot(records.where("page_id is null"), lone, "payload_digest", hot))
     return write_warcs(joined)
 
 
@@ -308,6 +319,6 @@ def page_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     largest id; a null id counts as the smallest and is never referred to; a null url gets one made
     from the id.  Other columns are not read, an empty table gives an empty one.
     """
-    arcs = write_arcs(pages, id_col, url_col, html_col)  # made twice, in the index pass and in the conversion; never stored
+    arcs = keep(write_arcs(pages, id_col, url_col, html_col), "arcs")
     warcs = keep(convert_arcs(arcs), "warcs")
     return read_warcs(warcs)
