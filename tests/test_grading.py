@@ -155,7 +155,8 @@ def test_answer_and_grade_flow(spark):
         assert "기체?" in prompt and "gold" not in prompt
         return "```json\n" + json.dumps({"scope": "DIRECT_CLASS", "answer": "기체입니다", "cited_chunk_ids": ["L:chunk:0000", "made up"], "confidence": "HIGH"}) + "\n```"
 
-    (r,) = answering.answer(asked, evidence, answering.overview(chunks), model).collect()
+    r, refused = answering.answer(asked, evidence, answering.overview(chunks), model).orderBy("qid").collect()
+    assert refused.qid == 2 and refused.problem and r.problem is None
     assert r.qid == 1 and list(r.cited_chunk_ids) == ["L:chunk:0000"] and r.problem is None
     items = datasets.normalised_answers(spark.createDataFrame([("i", None, " q ", "a", "direct", "the gold", None, None, None, [("c", "t"), ("c", "u")])], datasets.ANSWER))
     assert datasets.answer_problems(items).count() == 0 and items.first().category == datasets.UNCATEGORISED and len(items.first().retrieved_chunks) == 1
@@ -213,11 +214,81 @@ def test_feedback_log(spark, tmp_path):
     assert spark.table("offs").count() == 6
 
 
+def test_feedback_log_keeps_its_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert datasets.read_feedback(spark, path).count() == 0
+    for n in range(4):
+        row = {"question_id": f"q{n}", "question": f"q{n}", "answer": "a", "teacher_scores": scores(2 + n % 2), "expected_behavior": "direct" if n < 3 else "inferred"}
+        sinks.append_feedback(log(spark, [row]).withColumn("recorded_at", F.lit(f"2024-01-0{n + 1}T00:00:00Z")).coalesce(1), path)
+    rows = datasets.read_feedback(spark, path)
+    assert [r.question_id for r in rows.orderBy("pos").collect()] == ["q0", "q1", "q2", "q3"]
+    assert rows.select("pos").distinct().count() == 4
+    chosen = calibration.select_examples(rows, 6).collect()
+    assert [r.question_id for r in chosen] == ["q2", "q3", "q1", "q0"]
+    lines = [json.dumps({"question_id": f"L{k}", "recorded_at": f"2024-01-{20 - k:02d}"}) for k in range(9)]
+    (tmp_path / "one.jsonl").write_text("\n\n".join(lines) + "\n")  # one file is read in its own order
+    assert [r.question_id for r in datasets.read_feedback(spark, str(tmp_path / "one.jsonl")).orderBy("pos").collect()] == [f"L{k}" for k in range(9)]
+
+
+def test_questions_that_cannot_be_asked(spark):
+    chunks = store.enrich(chunks_of(spark))
+    asked = spark.createDataFrame([(1, "x" * 1001), (2, " "), (3, None), (4, "열용량이란? " + "y" * 900)], "qid int, text string")
+    evidence = spark.createDataFrame([(4, 1, "c1", "t")], "qid int, rank int, chunk_id string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        seen.add(1)
+        return {"scope": "DIRECT_CLASS", "answer": "답", "cited_chunk_ids": ["c1"], "confidence": "HIGH"}
+
+    rows = {r.qid: r for r in answering.answer(asked, evidence, answering.overview(chunks), model).collect()}
+    assert seen.value == 1 and len(rows) == 4
+    assert "1000" in rows[1].problem and "empty" in rows[2].problem and "empty" in rows[3].problem
+    assert rows[4].problem is None and rows[4].answer == "답" and rows[4].cited_chunk_ids == ["c1"]
+
+
+def test_a_failed_load_changes_nothing(spark, tmp_path):
+    home = str(tmp_path / "home")
+    lessons = spark.createDataFrame([("L", "t", "2024-01-02", "s", "ko", "f")], "lesson_id string, title string, lesson_date string, subject string, language string, source_file string")
+    good = store.enrich(chunks_of(spark))
+    assert [r.status for r in store.load_lessons(spark, home, good, lessons).collect()] == ["PASS"]
+    before = sorted(map(repr, store.read_chunks(spark, f"{home}/chunks").collect()))
+    created = store.read_lessons(spark, home).first().created_at
+    again = good.unionByName(good)  # each chunk twice
+    assert [r.status for r in store.load_lessons(spark, home, again, lessons).collect()] == ["FAIL"]
+    lost = store.load_lessons(spark, home, good.withColumn("lesson_id", F.lit("M")), lessons).collect()
+    assert [(r.status, r.orphans > 0) for r in lost] == [("FAIL", True)]
+    with pytest.raises(Exception):
+        store.load_lessons(spark, home, good.withColumn("text", F.raise_error(F.lit("broken"))), lessons)
+    assert sorted(map(repr, store.read_chunks(spark, f"{home}/chunks").collect())) == before
+    assert sorted(p.name for p in (tmp_path / "home").iterdir()) == ["chunks", "lessons"]
+    assert [r.status for r in store.load_lessons(spark, home, good.limit(1), lessons).collect()] == ["PASS"]
+    row = store.read_lessons(spark, home).first()
+    assert store.read_chunks(spark, f"{home}/chunks").count() == 1 and row.created_at == created < row.updated_at
+
+
+def canned_model(prompt):
+    """Stands for a model in the commands' tests: answers, or grades if it is asked to."""
+    if prompt.startswith("Grade"):
+        return {"scores": scores(4), "cited_chunk_ids": ["L:chunk:0000"]}
+    assert "gold" not in prompt
+    return json.dumps({"scope": "DIRECT_CLASS", "answer": "열량입니다", "cited_chunk_ids": ["L:chunk:0000", "x"], "confidence": "HIGH"})
+
+
 def test_commands(spark, tmp_path, capsys):
     (tmp_path / "a.md").write_text("**T:** 열용량은 온도를 올리는 열량입니다.\n**S:** 끓는점은 무엇인가요?\n", encoding="utf-8")
     out, kept = str(tmp_path / "chunks"), str(tmp_path / "kept")
+
+    def run(arguments):
+        assert cli.main(arguments, spark) == 0
+        return capsys.readouterr().out.splitlines()
+
     assert cli.main(["chunk", str(tmp_path / "a.md"), "--output", out], spark) == 0
+    assert '"parse_ok": true' in capsys.readouterr().out
+    (tmp_path / "bad.md").write_text("lost\nlost too\n**T:** 열용량입니다.\n", encoding="utf-8")
+    assert cli.main(["chunk", str(tmp_path / "bad.md"), "--output", str(tmp_path / "bad")], spark) == 1
+    assert cli.main(["chunk", str(tmp_path / "none.md")], spark) == 2 == cli.main(["search", "x", "--store", str(tmp_path / "nothing")], spark)
     assert cli.main(["load", out, "--store", kept, "--lesson-id", "L"], spark) == 0
+    capsys.readouterr()
     assert cli.main(["search", "열용량이", "--store", kept, "--topic", "열용량·비열"], spark) == 0
     assert '"rank": 1' in capsys.readouterr().out
     assert cli.main(["search", "!!", "--store", kept], spark) == 2
@@ -225,7 +296,83 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "q.json").write_text(json.dumps(questions), encoding="utf-8")
     assert cli.main(["evaluate", str(tmp_path / "q.json"), "--store", kept, "--k", "1"], spark) == 0
     assert '"hit": 1.0' in capsys.readouterr().out
-    assert cli.main(["audit", str(tmp_path / "q.json"), "--store", kept], spark) == 0
+    assert cli.main(["audit", str(tmp_path / "q.json"), "--store", kept, "--output", str(tmp_path / "audit")], spark) == 0
+    capsys.readouterr()
+    (found,) = [json.loads(x) for x in run(["search", "열용량", "--store", kept, "--json"])]
+    assert found["index"]["rebuilt"] is False and found["results"][0]["title"] == "a" and found["candidate_count"] == 1
+    (row,) = [json.loads(x) for x in run(["search", "열용량", "--store", kept, "--show-chars", "6", "--metrics-dir", str(tmp_path / "m")])]
+    assert len(row["preview"]) <= 7 and len(list((tmp_path / "m").iterdir())) == 1
+    model = ["--model", "tests.test_grading:canned_model"]
+    assert json.loads(run(["answer", "열용량이란?", "--store", kept, *model])[0])["cited_chunk_ids"] == ["L:chunk:0000"]
+    assert cli.main(["answer", "x" * 1001, "--store", kept, *model], spark) == 2 == cli.main(["answer", "열용량", "--store", kept], spark)
+    items = [{"id": f"E{k}", "question": "열용량은?", "answer_mode": "DIRECT_LESSON", "gold_answer": "gold", "required_points": ["p"]} for k in range(3)]
+    (tmp_path / "set.json").write_text(json.dumps({"items": items}), encoding="utf-8")
+    made, graded = str(tmp_path / "made"), str(tmp_path / "graded")
+    assert cli.main(["generate", str(tmp_path / "set.json"), "--store", kept, "--limit", "2", "--output", made, *model], spark) == 0
+    assert cli.main(["generate", str(tmp_path / "set.json"), "--store", kept, "--limit", "0", *model], spark) == 2
+    answers = spark.read.json(made).orderBy("id").collect()
+    assert [(r.id, r.expected_behavior, r.gold_answer, r.retrieved_chunks[0].chunk_id) for r in answers] == [(f"E{k}", "direct", "gold", "L:chunk:0000") for k in range(2)]
+    log_path = str(tmp_path / "teacher")
+    capsys.readouterr()
+    dry = json.loads(run(["grade", made, "--feedback", log_path, "--dry-run"])[0])
+    assert dry["question_count"] == 2 and dry["first_prompt"].startswith("Grade")
+    assert json.loads(run(["grade", made, "--feedback", log_path, "--output", graded, *model])[0]) == {"questions": 2, "mean_overall": 80.0, "pass_rate": 1.0}
+    six = [x for d in SIX for x in ("--score", f"{d}=3")]
+    counts = json.loads(run(["feedback", log_path, "E1", "--evaluation", graded, *six])[0])
+    assert counts["feedback_count"] == counts["paired_count"] == 1 and set(counts["offsets"].values()) == {-1.0}
+    assert cli.main(["feedback", log_path, "E9", "--evaluation", graded, *six], spark) == 2
+    served(spark, kept)
     command = ["feedback", str(tmp_path / "fb"), "Q01", "--question", "q", "--answer", "a", "--pass"]
     assert cli.main(command, spark) == 2
     assert cli.main([*command, *(x for d in SIX for x in ("--score", f"{d}=4"))], spark) == 0
+
+
+def served(spark, kept):
+    import threading
+    import urllib.error
+    import urllib.request
+    from urllib.parse import quote
+
+    web = cli.server(spark, kept, "127.0.0.1", 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+
+    def get(path):
+        try:
+            with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}{path}", timeout=60) as reply:
+                return reply.status, json.loads(reply.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    try:
+        assert get("/health") == (200, {"status": "ok"})
+        status, found = get(f"/search?q={quote('열용량')}&top_k=1")
+        assert status == 200 and found["results"][0]["chunk_id"] == "L:chunk:0000"
+        assert get("/search?q=")[0] == 400 and get(f"/search?q={'x' * 1001}")[0] == 400 and get("/other")[0] == 404
+        assert get("/lessons")[1]["lessons"][0]["lesson_id"] == "L"
+    finally:
+        web.shutdown()
+
+
+def test_http_model(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Endpoint(BaseHTTPRequestHandler):
+        calls = 0
+
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["content-length"])))["prompt"]
+            Endpoint.calls += 1
+            self.send_response(503 if Endpoint.calls == 1 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"answer": prompt}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    web = HTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    waits = []
+    call = answering.with_retries(answering.http_model(f"http://127.0.0.1:{web.server_port}", timeout=10), wait=waits.append)
+    assert call("hello") == {"answer": "hello"} and len(waits) == 1
+    web.shutdown()

@@ -2,8 +2,12 @@
 
 The index is a table of postings (chunk_id, col, key, tf) and one of lengths (chunk_id, dl).  A batch of
 queries is scored in one job: query terms meet the postings on (col, key), so only postings of asked
-terms are shuffled; document frequencies are counted on these alone; the corpus size and the mean
-length are two numbers.  The per-query top k is a window that Spark limits on the map side.
+terms are read further; the corpus size and the mean length are two numbers.  The per-query top k is a
+window that Spark limits on the map side.
+
+`ensure_index` stores the index under a digest of the corpus and the rules: postings in folders by a hash of
+the key, sorted by key, those of one key spread over several files; document frequencies; lengths.  It is written
+anew only if the digest isn't there.
 
 A term with a decimal point is indexed as its first part too, and counts twice in the length: the
 index cuts it there, and a query for the whole is a phrase.
@@ -11,6 +15,7 @@ index cuts it there, and a query for the whole is a phrase.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,24 +23,34 @@ from pyspark.sql import functions as F
 
 from turnstone.functions.rules import TermRules
 from turnstone.functions.terms import exact_of, grams_of, variants
+from turnstone.sources.shared import children, exists, input_bytes, remove
 
 # The weights of the two columns, BM25's constants, and the least weight of a term.
 WEIGHTS = {"exact": 5.0, "ngram": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_K = 50
 RANK_DIGITS, SCORE_DIGITS = 9, 6
+LEAST_BUCKETS, BUCKET_BYTES, SPREAD = 8, 8 << 30, 4  # folders of a stored index, stored input for each, files of one at least
 
 
 @dataclass
 class Index:
     """``terms`` has chunk_id, dl, exact and ngram (arrays of distinct terms): postings and lengths come from it.
 
-    ``stored`` has the postings, if they were written or persisted.
+    ``stored`` has the postings, if they were written, in ``buckets`` folders, and ``frequencies`` how often each key is.
     """
 
     terms: DataFrame
     ngrams: bool
     stored: DataFrame | None = None
+    frequencies: DataFrame | None = None
+    buckets: int = 0
+
+    def meet(self, terms: DataFrame) -> DataFrame:
+        """The postings of the keys (col, key, and what else) that ``terms`` has; only their folders are read."""
+        if not self.buckets:
+            return self.postings.join(terms, ["col", "key"])
+        return self.stored.join(terms.withColumn("bucket", bucket(self.buckets)), ["bucket", "col", "key"]).drop("bucket")
 
     @property
     def lengths(self) -> DataFrame:
@@ -71,6 +86,41 @@ def build_index(chunks: DataFrame, rules: TermRules = TermRules(), id_col: str =
     return Index(found.withColumn("dl", F.size("exact") + F.col("decimals") + F.size("ngram")), rules.ngrams)
 
 
+def bucket(n: int) -> Column:
+    """Which of n folders a key's postings are in."""
+    return F.pmod(F.xxhash64("col", "key"), F.lit(n)).cast("int")
+
+
+def ensure_index(chunks: DataFrame, path: str, rules: TermRules = TermRules(), id_col: str = "chunk_id", text_col: str = "text") -> tuple[Index, bool]:
+    """The stored index of these chunks under these rules, and whether it had to be written.
+
+    Each version has a folder of its own, named by the digest of corpus and rules; its frequencies are written last,
+    so a version without them is unfinished and is written again.  Versions of other corpora in ``path`` go.
+    """
+    spark = chunks.sparkSession
+    own = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    state = fingerprint(own).first()
+    name = hashlib.sha256(f"{state.fingerprint}:{state.chunks}:{rules!r}".encode()).hexdigest()[:32]
+    home = f"{path.rstrip('/')}/{name}"
+    rebuilt = not exists(spark, f"{home}/frequencies/_SUCCESS")
+    buckets = max(LEAST_BUCKETS, -(-input_bytes(chunks) // BUCKET_BYTES))
+    if rebuilt:
+        built = build_index(own, rules)
+        built.terms.write.mode("overwrite").parquet(f"{home}/terms")
+        index = Index(spark.read.parquet(f"{home}/terms"), rules.ngrams)
+        postings = index.postings.withColumn("bucket", bucket(buckets))
+        placed = postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "col", "key")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/postings")
+        counted = spark.read.parquet(f"{home}/postings").groupBy("bucket", "col", "key").agg(F.count(F.lit(1)).alias("df"))
+        counted.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{home}/frequencies")
+        for other in children(spark, path):
+            if other != name:
+                remove(spark, f"{path.rstrip('/')}/{other}")
+    frequencies = spark.read.parquet(f"{home}/frequencies")
+    held = frequencies.first()
+    return Index(spark.read.parquet(f"{home}/terms"), rules.ngrams, spark.read.parquet(f"{home}/postings"), frequencies, held.buckets if held else 0), rebuilt
+
+
 def query_terms(queries: DataFrame, rules: TermRules = TermRules(), id_col: str = "qid", text_col: str = "text") -> DataFrame:
     """qid, col, key: the distinct terms of each query."""
     found = _terms(queries, id_col, text_col, rules).withColumnRenamed("id", "qid")
@@ -87,6 +137,8 @@ def corpus_stats(index: Index) -> DataFrame:
 
 def term_stats(index: Index) -> DataFrame:
     """col, key, df: in how many chunks each key stands in each column."""
+    if index.frequencies is not None:
+        return index.frequencies.select("col", "key", "df")
     return index.postings.groupBy("col", "key").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -97,14 +149,18 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 def term_parts(index: Index, terms: DataFrame) -> DataFrame:
     """col, key, chunk_id, part: what each posting of an asked term adds to a score, whatever the query."""
-    postings = index.postings.join(terms.select("col", "key").distinct(), ["col", "key"], "left_semi")
+    wanted = terms.select("col", "key").distinct()
+    if index.frequencies is None:
+        postings = index.meet(wanted)
+        found = postings.join(postings.groupBy("col", "key").agg(F.count(F.lit(1)).alias("df")), ["col", "key"])
+    else:
+        found = index.meet(term_stats(index).join(wanted, ["col", "key"]))
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("col") == name, F.lit(w)).otherwise(weight)
     f = weight * F.col("tf")
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    df = postings.groupBy("col", "key").agg(F.count(F.lit(1)).alias("df"))
-    found = postings.join(df, ["col", "key"]).crossJoin(F.broadcast(corpus_stats(index)))  # one row
+    found = found.crossJoin(F.broadcast(corpus_stats(index)))  # one row
     return found.select("col", "key", "chunk_id", (idf(F.col("n_docs"), F.col("df")) * f * (K1 + 1) / (f + norm)).alias("part"))
 
 

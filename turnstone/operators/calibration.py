@@ -61,13 +61,14 @@ def _long(feedback: DataFrame) -> DataFrame:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation of two columns over a group; 0 for under two rows or a constant column."""
-    n = F.count(F.lit(1))
-    mx, my = F.avg(x), F.avg(y)
-    cov = F.sum(x * y) - n * mx * my
-    vx, vy = F.sum(x * x) - n * mx * mx, F.sum(y * y) - n * my * my
+    """Correlation of two columns over the rows of a group that have both; 0 for under two or a constant column.
+
+    The engine's aggregates keep centred sums, so large values lose nothing.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when((n < 2) | flat, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(cov, F.sqrt(F.greatest(vx * vy, F.lit(0.0)))), F.lit(0.0)))
+    return F.when((F.count(x) < 2) | flat, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
 
 
 def offsets(feedback: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def weights(feedback: DataFrame) -> DataFrame:
 
     A dimension's share is its correlation with the overall score, at least a little.
     """
-    learned = _long(feedback.where("teacher_overall_score is not null")).groupBy("dim").agg(F.greatest(F.lit(LEAST_CORRELATION), pearson(F.col("teacher"), F.col("overall"))).alias("r"), F.count(F.lit(1)).alias("n"))
+    learned = _long(feedback.where("teacher_overall_score is not null")).groupBy("dim").agg(F.greatest(F.lit(LEAST_CORRELATION), pearson(F.col("teacher"), F.col("overall"))).alias("r"), F.count("teacher").alias("n"))
     all_dims = Window.partitionBy(F.lit(1))  # six rows
     rows = rubric(feedback.sparkSession).select("pos", "dim", F.col("weight").alias("given")).join(learned, "dim", "left")
     blend = F.round(F.col("given") * SHRINK + F.col("r") / F.sum("r").over(all_dims) * (1 - SHRINK), 4)
@@ -122,8 +123,8 @@ def grading_summary(graded: DataFrame) -> DataFrame:
 def select_examples(feedback: DataFrame, limit: int = 6, behaviours=BEHAVIOURS) -> DataFrame:
     """The latest record of each behaviour, then the latest others, at most ``limit``; equal records count once.
 
-    ``feedback`` has pos and expected_behavior; of equal records the latest is kept.  Behaviours come in
-    alphabetical order.  Two small top-k jobs, no sort of all feedback.
+    ``feedback`` has pos, a unique place of any type that compares, and expected_behavior; of equal records the
+    latest is kept.  Behaviours come in alphabetical order.  Two small top-k jobs, no sort of all feedback.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")

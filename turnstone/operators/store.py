@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import tagging
 from turnstone.functions.rules import TagRules
 from turnstone.functions.text import nfkc, ratio, sha256, slug, strip
+from turnstone.sources.shared import children, exists, move, remove
 
 # The default subject, language and layout of ids.
 SUBJECT, LANGUAGE = "화학", "ko"
@@ -42,6 +45,35 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("lesson_id", F.col("lesson_id").cast("string"))
 
 
+def read_lessons(spark: SparkSession, home: str) -> DataFrame | None:
+    """The lessons of a store, if it has any yet."""
+    return spark.read.parquet(f"{home}/lessons") if exists(spark, f"{home}/lessons") else None
+
+
+def load_lessons(spark: SparkSession, home: str, chunks: DataFrame, lessons: DataFrame) -> DataFrame:
+    """Load enriched chunks of some lessons into a store, all or nothing; returns `validate_load` of what was written.
+
+    The store has the folders chunks, one partition for each lesson, and lessons.  All is first written to a
+    staging folder and validated there.  Only if every lesson passes, the loaded partitions and the lessons table
+    are moved to their places; else, or after an error, the store is as it was.
+    """
+    staging = f"{home}/staging-{uuid.uuid4().hex}"
+    try:
+        write_chunks(chunks, f"{staging}/chunks")
+        written = read_chunks(spark, f"{staging}/chunks")
+        merge_lessons(read_lessons(spark, home), lessons, F.current_timestamp()).write.parquet(f"{staging}/lessons")
+        found = validate_load(written, chunks, spark.read.parquet(f"{staging}/lessons"))
+        report = found.collect()  # a row for each loaded lesson
+        if all(r.status == "PASS" for r in report):
+            for name in children(spark, f"{staging}/chunks"):
+                if name.startswith("lesson_id="):
+                    move(spark, f"{staging}/chunks/{name}", f"{home}/chunks/{name}")
+            move(spark, f"{staging}/lessons", f"{home}/lessons")
+        return spark.createDataFrame(report, found.schema)
+    finally:
+        remove(spark, staging)
+
+
 def merge_lessons(old: DataFrame | None, new: DataFrame, now) -> DataFrame:
     """The lessons table after a load: replaced rows keep their created_at, all loaded ones get updated_at."""
     fresh = new.withColumn("updated_at", now)
@@ -52,10 +84,11 @@ def merge_lessons(old: DataFrame | None, new: DataFrame, now) -> DataFrame:
     return fresh.join(first, "lesson_id", "left").withColumn("created_at", F.coalesce("created_at", now)).unionByName(kept)
 
 
-def validate_load(stored: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row for each lesson: counts, fidelity, completeness, duplicates, orphans and the status of the load.
+def validate_load(stored: DataFrame, expected: DataFrame, lessons: DataFrame | None = None) -> DataFrame:
+    """One row for each lesson: counts, fidelity, completeness, duplicates and the status of the load.
 
     Stored and expected chunks are paired by lesson and index; a stored chunk counts once for an expected one.
+    With ``lessons`` also the number of orphans, chunks whose lesson isn't there; any fails the load.
     """
     mine = stored.groupBy("lesson_id", "chunk_index").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("content_sha256", "text"), "content_sha256").alias("s"), F.count_if((F.size("speakers") > 0) & (F.size("topics") > 0) & (F.size("content_types") > 0) & (F.length("content_sha256") > 0)).alias("complete"))
     want = expected.select("lesson_id", "chunk_index", F.struct("content_sha256", "text").alias("e"))
@@ -66,6 +99,10 @@ def validate_load(stored: DataFrame, expected: DataFrame) -> DataFrame:
         F.round(ratio(F.coalesce(F.sum("complete"), F.lit(0)), stored_n), 4).alias("completeness"), F.count_if(F.col("n") > 1).alias("duplicates"),
     )
     ok = (F.col("stored") == F.col("expected")) & (F.col("fidelity") == 1) & (F.col("completeness") == 1) & (F.col("duplicates") == 0)
+    if lessons is not None:
+        lost = orphans(stored, lessons).groupBy("lesson_id").agg(F.count(F.lit(1)).alias("orphans"))
+        per_lesson = per_lesson.join(lost, "lesson_id", "left").withColumn("orphans", F.coalesce("orphans", F.lit(0)))
+        ok = ok & (F.col("orphans") == 0)
     return per_lesson.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
 

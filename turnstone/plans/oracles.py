@@ -140,7 +140,7 @@ def _case(column: str, values: dict, otherwise: str) -> str:
 
 
 GUARD = f"""
-    WITH g AS (SELECT doc_id, [{', '.join(repr(s) for s in answering.SCOPES)}][doc_id % 5 + 1] AS scope, trim(left(text, 60), E' \\n\\t') AS a FROM documents)
+    WITH g AS (SELECT doc_id, [{', '.join(repr(s) for s in answering.SCOPES)}][doc_id % 5 + 1] AS scope, trim(text, E' \\n\\t') AS a FROM documents)
     SELECT doc_id, scope,
            {_case('scope', {**{k: f"'{v}'" for k, v in answering.SAFE_TEXTS.items()}, **{k: f"CASE WHEN contains(a, '{answering.CAVEAT}') THEN a ELSE '{v}' || a END" for k, v in answering.PREFIXES.items()}}, 'a')} AS answer,
            CASE WHEN scope IN {_list(answering.SAFE_TEXTS)} THEN '' ELSE CAST(doc_id AS VARCHAR) END AS cited,
@@ -187,7 +187,7 @@ def _tail(p: str, hits: str) -> str:
 
 KEYWORDS = (
     "WITH " + terms("dt", "documents", "doc_id") + ", " + RELEVANT
-    + r""", kw AS (SELECT DISTINCT item_id AS qid, unnest(string_split_regex(text, '\s+')[1:5]) AS keyword FROM benchmark), kn AS (SELECT *, row_number() OVER () AS id FROM kw)"""
+    + r""", kw AS (SELECT DISTINCT item_id AS qid, unnest(string_split_regex(text, '\s+')) AS keyword FROM benchmark), kn AS (SELECT *, row_number() OVER () AS id FROM kw)"""
     + "," + terms("kt", "kn", "id", "keyword")
     + """, good AS (SELECT DISTINCT rel.q, dt.v FROM rel JOIN dt ON dt.id = rel.doc),
     dg AS (SELECT kn.qid, kn.keyword, count(kt.v) > 0 AS tokenized, count(good.v) > 0 AS matched FROM kn LEFT JOIN kt ON kt.id = kn.id LEFT JOIN good ON good.q = kn.qid AND good.v = kt.v GROUP BY kn.id, 1, 2)"""

@@ -7,9 +7,9 @@ documents that contain its text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from turnstone.functions import tagging
 from turnstone.functions.rules import LATIN_EXACT, LATIN_TAGS, LATIN_TERMS
 from turnstone.operators import answering, audit, bm25, calibration, chunking, evaluation, store
 from turnstone.sources import transcripts
+from turnstone.sources.shared import shared_dir
 
 TOP_K, KS = 5, (1, 3, 5)
 FILTERED = ("src1", "src3", "src5")
@@ -35,18 +36,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-_INDEXES: dict[tuple[str, str], bm25.Index] = {}
-_RELEVANT: dict[tuple[str, str], DataFrame] = {}
-
-
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """The index of the documents, kept (spilling to disk) for the session's later queries of these tables."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEXES:
-        built = bm25.build_index(corpus(spark, sf_dir), LATIN_EXACT)
-        built = bm25.Index(built.terms.persist(StorageLevel.MEMORY_AND_DISK), built.ngrams)
-        _INDEXES[key] = bm25.Index(built.terms, built.ngrams, built.postings.persist(StorageLevel.MEMORY_AND_DISK))
-    return _INDEXES[key]
+    """The index of the documents, stored in the shared folder; written anew if the table has changed."""
+    home = f"{shared_dir(spark)}/bm25-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return bm25.ensure_index(corpus(spark, sf_dir), home, LATIN_EXACT)[0]
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,19 +48,14 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     Candidates hold all its terms but the outermost, which may be glued to other letters; only these
     are read for the comparison of texts.
     """
-    key = spark.sparkContext.applicationId, sf_dir
-    if key in _RELEVANT:
-        return _RELEVANT[key]
     asked = questions(spark, sf_dir)
     inner = asked.withColumn("text", F.regexp_replace("text", r"^\S+\s+|\s+\S+$", ""))
     wanted = bm25.query_terms(inner, LATIN_EXACT)
     counts = wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    hits = index(spark, sf_dir).postings.join(wanted, ["col", "key"]).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("found"))
+    hits = index(spark, sf_dir).meet(wanted).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("found"))
     full = hits.join(counts, "qid").where("found = n").select("qid", "chunk_id")
     texts = corpus(spark, sf_dir).select("chunk_id", F.col("text").alias("whole"))
-    found = full.join(asked, "qid").join(texts, "chunk_id").where(F.contains("whole", F.col("text"))).select("qid", "chunk_id")
-    _RELEVANT[key] = found.persist(StorageLevel.MEMORY_AND_DISK)
-    return _RELEVANT[key]
+    return full.join(asked, "qid").join(texts, "chunk_id").where(F.contains("whole", F.col("text"))).select("qid", "chunk_id")
 
 
 def ranked(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
@@ -193,8 +181,8 @@ def failed_questions(spark, sf_dir):
 
 
 def keyword_diagnostics(spark, sf_dir):
-    """Keywords: the first five blank-separated words of each question."""
-    words = questions(spark, sf_dir).select("qid", F.explode(F.array_distinct(F.slice(F.split("text", r"\s+"), 1, 5))).alias("keyword"))
+    """Keywords: all distinct blank-separated words of each question."""
+    words = questions(spark, sf_dir).select("qid", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("keyword"))
     good = evaluation.relevant_terms(relevant(spark, sf_dir), corpus(spark, sf_dir), LATIN_EXACT)
     return evaluation.keyword_diagnostics(words, good, LATIN_EXACT)
 
@@ -280,7 +268,7 @@ def citation_guard(spark, sf_dir):
     doc = F.col("doc_id")
     scope = F.element_at(F.array(*map(F.lit, answering.SCOPES)), (doc % 5 + 1).cast("int"))
     rows = read(spark, sf_dir, "documents").select(
-        "doc_id", scope.alias("scope"), F.left("text", F.lit(60)).alias("answer"), F.lit(" note ").alias("evidence_note"),
+        "doc_id", scope.alias("scope"), F.col("text").alias("answer"), F.lit(" note ").alias("evidence_note"),
         F.array(doc.cast("string"), (doc + 1).cast("string"), doc.cast("string"), F.lit("x")).alias("cited_chunk_ids"), F.array(doc.cast("string"), (doc + 2).cast("string")).alias("retrieved_ids"),
         F.lit(None).cast("boolean").alias("used_general_knowledge"), F.when(doc % 2 == 0, "HIGH").otherwise("sure").alias("confidence"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions.text import strip
+from turnstone.sources.shared import exists
 
 # Schemas, the form of a question id, and the permitted behaviours and rubric dimensions.
 CHUNK = "struct<chunk_index:int,turn_start:int,turn_end:int,source_line_start:int,source_line_end:int,start_sec:double,end_sec:double,speakers:array<string>,char_count:int,text:string>"
@@ -18,7 +19,9 @@ QUESTION = "id string, category string, question string, relevant_chunk_ids arra
 ANSWER_ITEM = "struct<id:string,category:string,answer_mode:string,question:string,relevant_chunk_ids:array<string>,target_keywords:array<string>,expected_behavior:string,required_points:array<string>,forbidden_claims:array<string>,grading_focus:array<string>,gold_answer:string>"
 ANSWER_SET = f"schema_version string, dataset_name string, description string, usage_policy struct<gold_answer_restriction:string>, items array<{ANSWER_ITEM}>"
 ANSWER = "id string, category string, question string, answer string, expected_behavior string, gold_answer string, required_points array<string>, forbidden_claims array<string>, grading_focus array<string>, retrieved_chunks array<struct<chunk_id:string,text:string>>"
+GRADED = "id string, category string, question string, answer string, expected_behavior string, evaluator_raw_scores map<string,double>"
 FEEDBACK = "feedback_id string, recorded_at string, question_id string, category string, question string, answer string, expected_behavior string, teacher_scores map<string,double>, teacher_overall_score double, teacher_pass boolean, teacher_notes string, evaluator_scores map<string,double>"
+POSITION = "struct<recorded_at:string,written:timestamp,file:string,block:bigint,line:bigint>"
 QUESTION_ID = r"^Q\d{2}$"
 CATEGORIES = ("수업 운영·피드백", "개념 설명", "문제 풀이", "교사-학생 대화")
 BEHAVIOURS = ("direct", "inferred", "related_general", "out_of_scope")
@@ -93,12 +96,30 @@ def qrels(items: DataFrame) -> DataFrame:
 
 
 def read_answer_set(spark: SparkSession, path: str) -> DataFrame:
-    """Items of an answer-evaluation dataset, with their position."""
-    return spark.read.schema(ANSWER_SET).json(path, multiLine=True).select(F.posexplode("items").alias("pos", "item")).select("pos", "item.*")
+    """Items of an answer-evaluation dataset, with their position; a dataset without items raises."""
+    rows = spark.read.schema(ANSWER_SET).json(path, multiLine=True).select(F.posexplode("items").alias("pos", "item")).select("pos", "item.*")
+    if not rows.head(1):
+        raise ValueError("the dataset has no items")
+    return rows
+
+
+def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of files that are a JSON array or have one object on each line; question and answer sets are small."""
+    whole = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("value"))
+    is_array = F.startswith("value", F.lit("["))
+    listed = F.from_json("value", f"array<struct<{schema}>>")
+    each = F.transform(F.filter(F.split("value", r"\r?\n"), lambda v: strip(v) != ""), lambda v: F.from_json(v, f"struct<{schema}>"))
+    return whole.select(F.explode(F.when(is_array, listed).otherwise(each)).alias("r")).select("r.*")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    return normalised_answers(spark.read.schema(ANSWER).json(path, multiLine=True))
+    return normalised_answers(_records(spark, path, ANSWER))
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Graded answers (GRADED), of a file with the array per_question or with one object on each line."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"per_question array<struct<{GRADED}>>").alias("r"))
+    return whole.select(F.explode("r.per_question").alias("q")).select("q.*").unionByName(_records(spark, path, GRADED).where("id is not null"))
 
 
 def normalised_answers(items: DataFrame) -> DataFrame:
@@ -130,8 +151,24 @@ def answer_problems(items: DataFrame) -> DataFrame:
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Feedback lines in order, blank lines skipped; a line that isn't JSON raises with its number."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).where(strip(F.col("line")) != "")
-    parsed = rows.select("pos", F.from_json("line", f"{FEEDBACK}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    require(parsed.where("r._bad is not null").select(F.concat(F.lit("not JSON in line "), F.col("pos") + 1).alias("problem")))
-    return parsed.select("pos", "r.*").drop("_bad")
+    """Feedback records with their place in the log (``pos``), blank lines skipped; a log that isn't there has none.
+
+    Lines of one file are in their order.  A log that was appended to is a folder of files: its records are in
+    the order of their times, then of the files'.  ``pos`` is unique and only serves to compare.  A line that isn't
+    JSON raises with its number.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"pos {POSITION}, {FEEDBACK}")
+    lines = spark.read.text(path)
+    one_file = len(lines.inputFiles()) == 1
+    file = F.col("_metadata")
+    lines = lines.select(file.getField("file_modification_time").alias("written"), file.getField("file_path").alias("file"), file.getField("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+    parsed = lines.withColumn("r", F.from_json("text", f"{FEEDBACK}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    rows = parsed.where(strip(F.col("text")) != "")
+    bad = rows.where("r._bad is not null").select("file", "block", "line").orderBy("file", "block", "line").limit(1).collect()
+    if bad:
+        at = bad[0]
+        before = lines.where((F.col("file") == at.file) & ((F.col("block") < at.block) | (F.col("block") == at.block) & (F.col("line") < at.line))).count()
+        raise ValueError(f"not JSON in line {before + 1}")
+    recorded = F.lit("") if one_file else F.coalesce("r.recorded_at", F.lit(""))
+    return rows.select(F.struct(recorded.alias("recorded_at"), "written", "file", "block", "line").alias("pos"), "r.*").drop("_bad")

@@ -8,6 +8,7 @@ the parallelism.  `parse_metrics` and `metadata` describe the files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,17 +151,43 @@ def json_metrics(payload: DataFrame) -> DataFrame:
     return payload.select("lesson", F.size("segments").alias("candidate_segments"), parsed.alias("parsed_segments"), F.round(ratio(parsed, F.size("segments")), 4).alias("parse_rate"))
 
 
-READERS = {".md": markdown_turns, ".markdown": markdown_turns, ".txt": text_turns}
+def markdown_metadata(source: DataFrame) -> DataFrame:
+    """lesson, title, date, language, key_topics of the front matter, with the file's name as title if it has none."""
+    full = lambda k: F.nullif(F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    rows = front_matter(source)
+    return rows.select("lesson", F.coalesce(full("title"), stem(F.col("lesson"))).alias("title"), F.coalesce(full("date"), F.lit("")).alias("date"), F.coalesce(full("language"), F.lit(LANGUAGE)).alias("language"), F.coalesce("key_topics", F.array().cast("array<string>")).alias("key_topics"))
 
 
-def load_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of the files at a path, by its suffix: .json, .md, .markdown or .txt."""
+def text_metadata(source: DataFrame) -> DataFrame:
+    """As `markdown_metadata`, for files that have no front matter."""
+    return source.select("lesson", stem(F.col("lesson")).alias("title"), F.lit("").alias("date"), F.lit(LANGUAGE).alias("language"), F.array().cast("array<string>").alias("key_topics"))
+
+
+#: For each suffix how files are read, and turns, measures of parsing and metadata found.
+FORMATS = {
+    ".json": (transcriptions, json_turns, json_metrics, json_metadata),
+    ".md": (files, markdown_turns, markdown_metrics, markdown_metadata),
+    ".markdown": (files, markdown_turns, markdown_metrics, markdown_metadata),
+    ".txt": (files, text_turns, text_metrics, text_metadata),
+}
+
+
+def load_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, measures of parsing, and metadata of the files at a path, by its suffix: .json, .md, .markdown or .txt."""
     suffix = "." + path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    if suffix == ".json":
-        return json_turns(transcriptions(spark, path))
-    if suffix not in READERS:
+    if suffix not in FORMATS:
         raise ValueError("a transcript is a .md, .markdown, .txt or .json file")
-    return READERS[suffix](files(spark, path))
+    read, turns, metrics, metadata = FORMATS[suffix]
+    try:
+        source = read(spark, path)
+    except AnalysisException as error:
+        raise ValueError(f"no transcript at {path}") from error
+    return turns(source), metrics(source), metadata(source)
+
+
+def load_turns(spark: SparkSession, path: str) -> DataFrame:
+    """The turns of the files at a path."""
+    return load_transcripts(spark, path)[0]
 
 
 def normalised_segments(payload: DataFrame) -> DataFrame:
