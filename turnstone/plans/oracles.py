@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from turnstone.functions.rules import LATIN_EXACT, LATIN_TAGS
+from turnstone.functions.rules import LATIN_EXACT, LATIN_TAGS, TermRules
 from turnstone.operators import answering, audit, calibration
+from turnstone.plans import queries
 
 TOKEN = r"[A-Za-z]+[A-Za-z0-9]*|\p{Nd}+(?:\.\p{Nd}+)?|[가-힣]+"
 
@@ -193,7 +194,80 @@ KEYWORDS = (
     dg AS (SELECT kn.qid, kn.keyword, count(kt.v) > 0 AS tokenized, count(good.v) > 0 AS matched FROM kn LEFT JOIN kt ON kt.id = kn.id LEFT JOIN good ON good.q = kn.qid AND good.v = kt.v GROUP BY kn.id, 1, 2)"""
 )
 
+
+def hangul_terms(name: str, table: str, id_col: str) -> str:
+    """A CTE of the distinct terms (v) of each row (id) under the default rules, with letters written as Hangul; and one of all keys."""
+    rules = TermRules()
+    text = f"translate(lower(text), '{queries.LETTERS}', '{queries.HANGUL}')"
+    cases = " ".join(f"WHEN ends_with(t, '{s}') THEN {len(s)}" for s in rules.suffixes)
+    return f"""
+    {name}_t AS (SELECT DISTINCT id, t FROM (SELECT {id_col} AS id, unnest(regexp_extract_all({text}, '{TOKEN}')) AS t FROM {table}) WHERE t NOT IN {_list(rules.stopwords)}),
+    {name}_s AS (SELECT id, t, CASE WHEN regexp_full_match(t, '[가-힣]+') THEN CASE {cases} END END AS cut FROM {name}_t),
+    {name} AS (SELECT DISTINCT id, v FROM (SELECT id, t AS v FROM {name}_t UNION ALL SELECT id, left(t, CAST(length(t) - cut AS INTEGER)) AS v FROM {name}_s WHERE cut IS NOT NULL AND length(t) - cut >= 2)),
+    {name}_g AS (SELECT DISTINCT id, m || substr(v, CAST(k AS INTEGER), CAST(w AS INTEGER)) AS key FROM (
+        SELECT id, v, m, w, unnest(range(1, length(v) - w + 2)) AS k FROM {name} CROSS JOIN (VALUES ('b', 2), ('t', 3)) g(m, w) WHERE regexp_full_match(v, '[가-힣]+') AND length(v) >= w))"""
+
+
+DEFAULT_RANKED = (
+    "WITH " + hangul_terms("dt", "documents", "doc_id") + "," + hangul_terms("qt", "benchmark", "item_id") + """,
+    post AS (
+        SELECT id AS doc, 'w' || split_part(v, '.', 1) AS key, count(*) AS tf, 5 AS w FROM dt GROUP BY 1, 2
+        UNION ALL SELECT id, 'w' || v, 1, 5 FROM dt WHERE contains(v, '.')
+        UNION ALL SELECT id, key, 1, 1 FROM dt_g),
+    own AS (SELECT DISTINCT id, 'w' || v AS key FROM qt UNION ALL SELECT id, key FROM qt_g),
+    lens AS (SELECT d.doc_id AS doc, coalesce(e.n, 0) + coalesce(g.n, 0) AS dl FROM documents d
+             LEFT JOIN (SELECT id, count(*) + count(CASE WHEN contains(v, '.') THEN 1 END) AS n FROM dt GROUP BY 1) e ON e.id = d.doc_id LEFT JOIN (SELECT id, count(*) AS n FROM dt_g GROUP BY 1) g ON g.id = d.doc_id),
+    st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM lens),
+    dfs AS (SELECT key, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY 1),
+    sc AS (SELECT x.id AS q, p.doc, sum(
+            CASE WHEN ln((st.n - f.df + 0.5) / (f.df + 0.5)) > 0 THEN ln((st.n - f.df + 0.5) / (f.df + 0.5)) ELSE CAST(0.000001 AS DOUBLE) END
+            * p.w * p.tf * CAST(2.2 AS DOUBLE) / (p.w * p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.dl / st.avgdl))) AS s
+        FROM own x JOIN post p USING (key) JOIN dfs f USING (key) JOIN lens l ON l.doc = p.doc, st GROUP BY 1, 2),
+    top AS (SELECT * FROM (SELECT q, doc, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc) AS r, count(*) OVER (PARTITION BY q) AS c FROM sc) WHERE r <= 5)"""
+)
+PROBLEM_DIMS = [f"CAST(doc_id * {k + 3} % 6 AS DOUBLE)" for k in range(6)]
+
 ORACLES = {
+    "bm25_default_rules": DEFAULT_RANKED + " SELECT q AS qid, CAST(r AS INTEGER) AS rank, doc AS chunk_id, round(s, 6) AS score, c AS candidate_count FROM top",
+    "search_terms_default_rules": "WITH " + hangul_terms("qt", "benchmark", "item_id") + " SELECT id AS qid, 'exact' AS col, 'w' || v AS key FROM qt UNION ALL SELECT id, 'ngram', key FROM qt_g",
+    "topic_chunks": f"SELECT doc_id FROM documents WHERE list_contains({TOPICS}, '{LATIN_TAGS.topics[2][0]}')",
+    "question_number_chunks": f"WITH n AS (SELECT doc_id, unnest({NUMBERS}) AS x FROM documents) SELECT doc_id FROM n WHERE x = (SELECT min(x) FROM n)",
+    "latency": "SELECT round(avg(value), 2) AS mean_ms, round(quantile_disc(value, 0.95), 2) AS p95_ms FROM events",
+    "score_problems": f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no score for {calibration.DIMENSIONS[2]}' WHEN least({', '.join(PROBLEM_DIMS)}) < 1 THEN 'a score is no number from 1 to 5' END AS problem FROM labels",
+    "refused_questions": r"""
+        WITH q AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE trim(text, E' \t\n\r') END AS t FROM documents),
+             r AS (SELECT doc_id, CASE WHEN t = '' THEN 'the question is empty' WHEN length(t) > 1000 THEN 'the question has over 1000 characters' END AS refused FROM q)
+        SELECT doc_id AS qid, refused IS NULL AS asked, CAST(0 AS INTEGER) AS sources, refused FROM r""",
+    "answer_prompts": RANKED + " SELECT q AS qid, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY r) AS retrieved, true AS quoted, CAST(NULL AS VARCHAR) AS refused FROM top GROUP BY 1",
+    "feedback_log_examples": f"""
+        WITH {FEEDBACK}, r AS (SELECT doc_id, doc_id % 4 AS part, CASE WHEN doc_id % 5 <> 0 THEN ['direct', 'inferred', 'related_general'][doc_id % 3 + 1] END AS b, sum(teacher / 5 * given) / sum(given) * 100 AS score FROM fb GROUP BY 1),
+             f AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY part DESC, doc_id DESC) AS k FROM r),
+             o AS (SELECT *, CASE WHEN b IS NOT NULL AND k = 1 THEN 0 ELSE 1 END AS later FROM f)
+        SELECT CAST(doc_id AS VARCHAR) AS question_id, b AS expected_behavior, '미분류' AS category, round(score, 2) >= 70 AS teacher_pass
+        FROM o ORDER BY later, CASE WHEN later = 0 THEN b END, part DESC, doc_id DESC LIMIT 6""",
+    "question_set_problems": r"""
+        WITH i AS (SELECT item_id, CASE WHEN item_id % 11 = 0 THEN 'Q01' WHEN item_id % 11 = 1 THEN 'X' || item_id ELSE 'Q' || lpad(CAST(item_id % 100 AS VARCHAR), 2, '0') END AS id FROM benchmark),
+        field AS (SELECT id || ': ' || CASE WHEN NOT regexp_full_match(id, 'Q[0-9]{2}') THEN 'id' WHEN item_id % 7 = 1 THEN 'question' WHEN item_id % 7 = 2 THEN 'target_keywords' WHEN item_id % 7 = 3 THEN 'gold_answer' WHEN item_id % 9 = 0 THEN 'category' END || ' is missing or wrong' AS problem FROM i),
+        twice AS (SELECT id || ': not unique' AS problem FROM i GROUP BY id HAVING count(*) > 1),
+        asked AS (SELECT DISTINCT item_id, id, c FROM (SELECT item_id, id, unnest([CAST(item_id AS VARCHAR), CASE WHEN item_id % 6 = 0 THEN 'none' ELSE CAST(item_id + 1 AS VARCHAR) END]) AS c FROM i)),
+        unknown AS (SELECT id || ': no chunk ' || c AS problem FROM asked WHERE c NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents))
+        SELECT problem, count(*) AS n FROM (SELECT * FROM field WHERE problem IS NOT NULL UNION ALL SELECT * FROM twice UNION ALL SELECT * FROM unknown) GROUP BY 1""",
+    "normalised_answers": r"""
+        SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 2 = 0 THEN '미분류' ELSE 'c' END AS category, 'p,p' AS points, CAST(0 AS INTEGER) AS claims,
+               turn || 'x,' || (turn + 1) || CASE WHEN turn % 4 = 3 THEN '' ELSE 'y' END AS chunks,
+               conv_id || '-' || turn || ': ' || CASE WHEN turn % 5 = 4 THEN 'id, question or answer is missing' WHEN turn % 4 = 3 THEN 'a retrieved chunk lacks its id or text' WHEN turn % 3 = 2 THEN 'unknown behaviour' END AS problem
+        FROM conversations""",
+    "artifact_problems": r"""
+        WITH a AS (SELECT conv_id AS c, count(*) AS n FROM conversations GROUP BY 1)
+        SELECT CAST(c AS VARCHAR) AS artifact, CASE WHEN c % 5 = 3 THEN 'not a chunk artifact' WHEN c % 5 = 1 AND n > 1 THEN 'chunk indexes are not 0, 1, 2 and so on' WHEN c % 5 = 2 AND n > 1 THEN 'a chunk has no text' END AS problem
+        FROM a WHERE c % 5 = 3 OR (c % 5 IN (1, 2) AND n > 1)""",
+    "glossary_terms": r"""
+        WITH w AS (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS term, unnest(range(len(string_split_regex(text, '\s+')))) AS k FROM benchmark)
+        SELECT min(item_id * 100000 + k) AS pos, arg_min(term, item_id * 100000 + k) AS term FROM w GROUP BY lower(term)""",
+    "markdown_parse_metrics": r"""
+        WITH t AS (SELECT conv_id AS lesson, count(*) AS candidate_lines, count(CASE WHEN NOT (turn = 0 AND conv_id % 3 = 0) THEN 1 END) AS parsed_lines FROM conversations GROUP BY 1)
+        SELECT lesson, candidate_lines, parsed_lines, round(CAST(parsed_lines AS DOUBLE) / candidate_lines, 4) AS parse_rate, CASE WHEN parsed_lines < candidate_lines THEN 'lines before the first turn: 1' ELSE '' END AS lost FROM t""",
+    "failed_filtered_questions": METRICS.replace("FROM sc), top", "FROM sc WHERE doc IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src3', 'src5'))), top") + " SELECT qid FROM met WHERE k = 1 AND hit = 0",
     "bm25_topk": RANKED + " SELECT q AS qid, CAST(r AS INTEGER) AS rank, doc AS chunk_id, round(s, 6) AS score, c AS candidate_count FROM top",
     "bm25_filtered": RANKED.replace("FROM sc), top", "FROM sc WHERE doc IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src3', 'src5'))), top") + " SELECT q AS qid, CAST(r AS INTEGER) AS rank, doc AS chunk_id, round(s, 6) AS score, c AS candidate_count FROM top",
     "bm25_candidates": RANKED + " SELECT q AS qid, count(*) AS candidate_count FROM sc GROUP BY 1",

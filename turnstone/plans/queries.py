@@ -8,6 +8,7 @@ documents that contain its text.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import tagging
 from turnstone.functions.rules import LATIN_EXACT, LATIN_TAGS, LATIN_TERMS
 from turnstone.operators import answering, audit, bm25, calibration, chunking, evaluation, store
-from turnstone.sources import transcripts
+from turnstone.sources import datasets, sinks, transcripts
 from turnstone.sources.shared import shared_dir
 
 TOP_K, KS = 5, (1, 3, 5)
@@ -307,6 +308,137 @@ def front_matter(spark, sf_dir):
     return found.select("lesson", F.col("metadata")["title"].alias("title"), F.col("metadata")["date"].alias("date"), F.array_join("key_topics", ",").alias("key_topics"))
 
 
+# letters as Hangul and digits as wide ones, so that the default rules (particles, grams, NFKC) have something to do
+LETTERS, HANGUL = "abcdefghijklmnopqrstuvwxyz", "은는이가을를의와과도만에로요서부터까지나다라마바사열"
+DIGITS, WIDE = "0123456789", "０１２３４５６７８９"
+
+
+def _hangul(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.translate(F.lower("text"), LETTERS + DIGITS, HANGUL + WIDE))
+
+
+def bm25_default_rules(spark, sf_dir):
+    home = f"{shared_dir(spark)}/bm25-default-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    found, _ = bm25.ensure_index(_hangul(corpus(spark, sf_dir)), home)
+    return bm25.search(found, _hangul(questions(spark, sf_dir)), TOP_K)
+
+
+def search_terms_default_rules(spark, sf_dir):
+    return bm25.query_terms(_hangul(questions(spark, sf_dir)))
+
+
+def topic_chunks(spark, sf_dir):
+    return bm25.by_topic(tags(spark, sf_dir), LATIN_TAGS.topics[2][0]).select(F.col("chunk_index").alias("doc_id"))
+
+
+def question_number_chunks(spark, sf_dir):
+    """Chunks of the smallest question number that there is."""
+    rows = tags(spark, sf_dir)
+    least = store.question_numbers(rows).agg(F.min("question_number").alias("number"))
+    return rows.crossJoin(F.broadcast(least)).where(F.array_contains("question_numbers", F.col("number"))).select(F.col("chunk_index").alias("doc_id"))  # one row
+
+
+def failed_filtered_questions(spark, sf_dir):
+    """Questions whose relevant documents lie outside the sources that are searched, or low."""
+    found = evaluation.ranking_metrics(bm25_filtered(spark, sf_dir), relevant(spark, sf_dir), KS)
+    return evaluation.failed(found, 1)
+
+
+def latency(spark, sf_dir):
+    return evaluation.latency(read(spark, sf_dir, "events"), "value")
+
+
+def score_problems(spark, sf_dir):
+    """Scores of which some lack a dimension and some are out of bounds."""
+    doc, dims = F.col("doc_id"), calibration.DIMENSIONS
+    full = F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*((doc * (k + 3) % 6).cast("double") for k in range(6))))
+    given = F.map_filter(full, lambda k, v: (doc % 4 != 0) | (k != dims[2]))
+    return read(spark, sf_dir, "labels").select("doc_id", calibration.score_problem(given).alias("problem"))
+
+
+def refused_questions(spark, sf_dir):
+    """Documents as questions: blank and over-long ones have no prompt, and a reason."""
+    asked = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 50 == 0, " \n ").otherwise(F.col("text")).alias("text"))
+    none = spark.createDataFrame([], "qid long, rank int, chunk_id long, text string")
+    found = answering.answer_prompts(asked, none, answering.overview(tags(spark, sf_dir)))
+    return found.select("qid", F.col("prompt").isNotNull().alias("asked"), F.size("retrieved_ids").alias("sources"), "refused")
+
+
+def answer_prompts(spark, sf_dir):
+    """What each question's prompt was given: its evidence in order of rank, and whether the prompt quotes all of it."""
+    evidence = ranked(spark, sf_dir).join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select("qid", "rank", "chunk_id", "text")
+    found = answering.answer_prompts(questions(spark, sf_dir), evidence, answering.overview(tags(spark, sf_dir)))
+    quoted = found.join(evidence.select("qid", "text"), "qid").groupBy("qid").agg(F.min(F.contains("prompt", F.to_json(F.struct("text")).substr(F.lit(2), F.lit(40)))).alias("quoted"))
+    return found.join(quoted, "qid").select("qid", F.array_join("retrieved_ids", ",").alias("retrieved"), "quoted", "refused")
+
+
+def feedback_log_examples(spark, sf_dir):
+    """Labels appended to a log in four parts, read back, and the examples that a grader is shown."""
+    home = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    rows = feedback(spark, sf_dir)
+    behaviour = F.element_at(F.array(*map(F.lit, datasets.BEHAVIOURS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.col("doc_id").cast("string")
+    records = rows.select(
+        F.concat(F.lit("f"), name).alias("feedback_id"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("doc_id") % 4).cast("string"), 2, "0"), F.lit("."), F.lpad(name, 12, "0")).alias("recorded_at"), name.alias("question_id"),
+        F.lit(None).cast("string").alias("category"), F.concat(F.lit("q"), name).alias("question"), F.lit("a").alias("answer"), F.when(F.col("doc_id") % 5 != 0, behaviour).alias("expected_behavior"), "teacher_scores", "teacher_overall_score",
+        F.lit(None).cast("boolean").alias("teacher_pass"), F.lit(None).cast("string").alias("teacher_notes"), "evaluator_scores", (F.col("doc_id") % 4).alias("part"),
+    )
+    for part in range(4):
+        sinks.append_feedback(records.where(F.col("part") == part).drop("part"), home)
+    return calibration.select_examples(datasets.read_feedback(spark, home), 6).select("question_id", "expected_behavior", "category", "teacher_pass")
+
+
+def question_set_problems(spark, sf_dir):
+    """Benchmark items as a question set with faults of every kind, against the documents' ids."""
+    item = F.col("item_id")
+    text = lambda c, no: F.when(item % 7 != no, c)
+    raw = read(spark, sf_dir, "benchmark").select(
+        F.when(item % 11 == 0, "Q01").when(item % 11 == 1, F.concat(F.lit("X"), item.cast("string"))).otherwise(F.concat(F.lit(" Q"), F.lpad((item % 100).cast("string"), 2, "0"), F.lit(" "))).alias("id"),
+        F.when(item % 9 == 0, "other").otherwise("a").alias("category"), text(F.col("text"), 1).alias("question"),
+        F.array(item.cast("string"), F.lit(" "), item.cast("string"), F.when(item % 6 == 0, "none").otherwise((item + 1).cast("string"))).alias("relevant_chunk_ids"),
+        F.when(item % 7 == 2, F.array(F.lit(" "))).otherwise(F.array(F.lit("k"), F.lit("k "))).alias("target_keywords"), text(F.lit(" g "), 3).alias("gold_answer"),
+    )
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return datasets.question_problems(datasets.normalised_questions(raw), ids, categories=("a",)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalised_answers(spark, sf_dir):
+    """Conversation turns as answers, some of them faulty: what is read, and what is wrong."""
+    turn = F.col("turn")
+    chunk = lambda i, t: F.struct(i.cast("string").alias("chunk_id"), t.alias("text"))
+    raw = read(spark, sf_dir, "conversations").select(
+        F.concat(F.lit(" "), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string")).alias("id"), F.when(turn % 2 == 0, " ").otherwise("c ").alias("category"), F.col("role").alias("question"),
+        F.when(turn % 5 == 4, " ").otherwise(F.col("text")).alias("answer"), F.when(turn % 3 == 2, "odd").when(turn % 3 == 1, "direct").alias("expected_behavior"), F.lit(None).cast("string").alias("gold_answer"),
+        F.array(F.lit(" p "), F.lit(""), F.lit("p")).alias("required_points"), F.lit(None).cast("array<string>").alias("forbidden_claims"), F.array().cast("array<string>").alias("grading_focus"),
+        F.array(chunk(turn, F.lit("x")), chunk(turn + 1, F.when(turn % 4 == 3, " ").otherwise("y")), chunk(turn, F.lit("z"))).alias("retrieved_chunks"),
+    )
+    read_ = datasets.normalised_answers(raw)
+    found = read_.join(datasets.answer_problems(read_), "id", "left")
+    held = F.array_join(F.transform("retrieved_chunks", lambda c: F.concat(c["chunk_id"], c["text"])), ",")
+    return found.select("id", "category", F.array_join("required_points", ",").alias("points"), F.size("forbidden_claims").alias("claims"), held.alias("chunks"), "problem")
+
+
+def artifact_problems(spark, sf_dir):
+    """Conversations as chunk artifacts, of which some have another stage, a gap in the indexes, or a blank text."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    chunk = F.struct(F.when((conv % 5 == 1) & (turn > 0), turn + 1).otherwise(turn).cast("int").alias("chunk_index"), F.when((conv % 5 == 2) & (turn == 1), " \n").otherwise(F.col("text")).alias("text"))
+    rows = read(spark, sf_dir, "conversations").groupBy(conv.cast("string").alias("artifact")).agg(F.when(F.first(conv) % 5 == 3, 1).otherwise(2).alias("stage"), F.collect_list(chunk).alias("chunks"))
+    return datasets.artifact_problems(rows)
+
+
+def glossary_terms(spark, sf_dir):
+    """Distinct words of the benchmark but for case, in the spelling that comes first."""
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\s+")).alias("k", "term"))
+    return transcripts.unique_terms(words.select((F.col("item_id") * 100_000 + F.col("k")).alias("pos"), "term"))
+
+
+def markdown_parse_metrics(spark, sf_dir):
+    """Conversations as files in which some first turns have lost their speaker."""
+    line = F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 == 0), F.lit("lost line")).otherwise(F.concat(F.lit("**"), "role", F.lit(":** "), F.regexp_replace("text", r"\s+", " ")))
+    found = transcripts.markdown_metrics(_transcript(spark, sf_dir, line))
+    return found.select("lesson", "candidate_lines", "parsed_lines", "parse_rate", F.array_join(F.filter("warnings", lambda w: F.startswith(w, F.lit("lines"))), ";").alias("lost"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -314,5 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topic_tags, term_tags, question_number_tags, content_type_tags, topic_distribution, content_type_distribution, distinct_question_numbers, corpus_overview, load_validation,
         ranking_metrics, ranking_summary, metrics_by_category, failed_questions, keyword_diagnostics, keyword_rates, ablation_stability, hit_audit, chance_baseline, audit_summary,
         calibration_offsets, calibration_weights, weighted_scores, graded_answers, grading_summary, feedback_examples, citation_guard, markdown_turns, text_turns, json_turns, front_matter,
+        bm25_default_rules, search_terms_default_rules, topic_chunks, question_number_chunks, failed_filtered_questions, latency, score_problems, refused_questions, answer_prompts,
+        feedback_log_examples, question_set_problems, normalised_answers, artifact_problems, glossary_terms, markdown_parse_metrics,
     )
 }
