@@ -66,3 +66,25 @@ def test_stages_and_result(spark, tmp_path):
             assert Counter((r.doc_id, r.n_tokens) for r in now.collect()) == wanted
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, now.collect()))
+
+
+def test_stages_of_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, at long, key string, copies int, `__kept` int"
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, f"{words} number {k * k} of {k}", "en", "s", 1, k, "k", 1, 1) for k in range(3)]
+    rows += [(None, None, None, None, None, None, None, None, None), (None, f"other {words[::-1]}", "en", None, 1, 1, "k", 1, 1), (7, "", "en", "s", 0, 1, "k", 1, 1), (7, "", "en", "s", 0, 1, "k", 1, 1), (8, "z" * 200_000, "en", "t", 1, 1, "k", 1, 1)]
+    for name, docs in (("empty", spark.createDataFrame([], schema)), ("odd", spark.createDataFrame(rows, schema))):
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, docs, SF).write.parquet(str(tmp_path / name / stage))
+            now = spark.read.parquet(str(tmp_path / name / stage))
+            assert stage == "token_files" or now.schema.simpleString() == docs.schema.simpleString()
+            if name == "empty":
+                assert now.count() == 0
+            elif stage in ("toxicity", "decontamination"):
+                assert now.count() == docs.count()
+            elif stage == "near_duplicates":
+                # the three numbered texts are near copies; blank and null texts are one group
+                assert sorted((repr(r.doc_id), len(r.text or "")) for r in now.collect()) == sorted([("0", len(rows[0][1])), ("7", 0), ("8", 200_000), ("None", len(rows[4][1]))])
+            docs = now
+        if name == "odd":
+            assert {r.doc_id for r in docs.collect()} <= {0, 8, None} and docs.count() > 0
