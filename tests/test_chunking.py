@@ -1,12 +1,14 @@
 """Splitting and packing against plain loops, and the readers' formats."""
 
+import hashlib
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from turnstone.functions.text import clock, one_line, seconds, slug, unquote
+from turnstone.functions.text import canonical_json, clock, one_line, seconds, slug, strict_seconds, unquote
 from turnstone.operators import chunking
 from turnstone.sources import sinks, transcripts
 
@@ -114,9 +116,9 @@ def test_json(spark, folder):
 def test_reader_registry_and_glossary(spark, tmp_path):
     with pytest.raises(ValueError):
         transcripts.load_turns(spark, "x.pdf")
-    (tmp_path / "g.txt").write_text("# comment\nHeat\nheat\n\nＨＥＡＴ\nSteam\n")
+    (tmp_path / "g.txt").write_text("# comment\nHeat\nheat\n\nＨＥＡＴ\nSteam\nStra\u00dfe\nSTRASSE\n", encoding="utf-8")
     (tmp_path / "g.json").write_text('["a", " A ", "b"]')
-    assert [r.term for r in transcripts.glossary(spark, str(tmp_path / "g.txt")).orderBy("pos").collect()] == ["Heat", "Steam"]
+    assert [r.term for r in transcripts.glossary(spark, str(tmp_path / "g.txt")).orderBy("pos").collect()] == ["Heat", "ＨＥＡＴ", "Steam", "Stra\u00dfe"]
     assert [r.term for r in transcripts.glossary(spark, str(tmp_path / "g.json")).orderBy("pos").collect()] == ["a", "b"]
 
 
@@ -127,3 +129,23 @@ def test_text_functions(spark):
     assert one(slug(F.lit("  2024 화학 Lesson!! "))) == "2024-화학-lesson" and one(slug(F.lit("!!"))) == "lesson"
     assert one(unquote(F.lit(" 'a\"b' "))) == 'a"b' and one(unquote(F.lit("\"a'"))) == "\"a'"
     assert one(clock(F.lit(3723.0456))) == "01:02:03.046" and one(one_line(F.lit("a \n b" + "c" * 20), 10)) == "a bcccccc…"
+
+
+def test_strict_times(spark):
+    good = spark.createDataFrame([("01:02",), (" ",), (None,)], "t string")
+    assert [r[0] for r in good.select(strict_seconds(F.col("t"))).collect()] == [62.0, None, None]
+    with pytest.raises(Exception, match="not a time: x:1"):
+        spark.createDataFrame([("x:1",)], "t string").select(strict_seconds(F.col("t"))).collect()
+
+
+def test_canonical_json(spark):
+    rows = spark.createDataFrame([(({"b": 1, "a": None}, [("z", "é"), ("y", None)], None),)], "v struct<m:map<string,int>,l:array<struct<q:string,p:string>>,a:string>")
+    (found,) = rows.select(canonical_json(F.col("v"), rows.schema["v"].dataType)).first()
+    value = {"m": {"b": 1, "a": None}, "l": [{"q": "z", "p": "é"}, {"q": "y", "p": None}], "a": None}
+    assert found == json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def test_file_digests(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 9)
+    (row,) = transcripts.file_digests(spark, str(tmp_path / "a.bin")).collect()
+    assert row.source_sha256 == hashlib.sha256(bytes(range(256)) * 9).hexdigest()

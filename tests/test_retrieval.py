@@ -124,3 +124,41 @@ def test_fingerprint_follows_content(spark):
     digest = lambda r: bm25.fingerprint(spark.createDataFrame(r, "chunk_id int, text string")).first().fingerprint
     assert digest(rows) == digest(rows[::-1]) != digest([*rows[:-1], (29, "other")])
     assert digest(rows) != digest(rows[:-1])
+
+
+def test_a_stored_index_follows_its_table(spark, tmp_path):
+    """It is written once, used again, and written anew when the corpus or the rules change; unfinished ones don't count."""
+    import shutil
+
+    rows = [(k, f"heat water steam {'ice' if k % 3 else 'salt'} {k}.5") for k in range(40)]
+    docs = spark.createDataFrame(rows, "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "salt"), (2, "ice 7.5")], "qid int, text string")
+    home = str(tmp_path / "index")
+    stored, rebuilt = bm25.ensure_index(docs, home, LATIN_EXACT)
+    assert rebuilt and not bm25.ensure_index(docs.repartition(3), home, LATIN_EXACT)[1]
+    result = lambda index: sorted(map(tuple, bm25.search(index, asked, 5, LATIN_EXACT).collect()))
+    assert result(stored) == result(bm25.build_index(docs, LATIN_EXACT)) == result(bm25.ensure_index(docs, home, LATIN_EXACT)[0])
+    stats = lambda index: sorted(map(tuple, bm25.term_stats(index).collect()))
+    assert stats(stored) == stats(bm25.build_index(docs, LATIN_EXACT))
+    changed = docs.where("chunk_id <> 0").unionByName(spark.createDataFrame([(0, "salt salt only")], docs.schema))
+    again, rebuilt = bm25.ensure_index(changed, home, LATIN_EXACT)
+    assert rebuilt and result(again) == result(bm25.build_index(changed, LATIN_EXACT)) and len(list((tmp_path / "index").iterdir())) == 1
+    (version,) = (tmp_path / "index").iterdir()
+    shutil.rmtree(version / "frequencies")
+    assert bm25.ensure_index(changed, home, LATIN_EXACT)[1]
+    empty, _ = bm25.ensure_index(docs.limit(0), home, LATIN_EXACT)
+    assert result(empty) == []
+
+
+def test_queries_see_a_changed_table(spark, tmp_path):
+    from turnstone.plans import queries
+
+    def write(texts):
+        spark.createDataFrame([(k, t, "src0") for k, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+
+    spark.createDataFrame([(0, "blue whale")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    write(["a blue whale sings", "red fish", "green fish"])
+    assert [r.chunk_id for r in queries.bm25_topk(spark, str(tmp_path)).collect()] == [0]
+    write(["red fish", "green fish", "the blue whale", "blue sky"])
+    spark.catalog.clearCache()
+    assert [r.chunk_id for r in queries.bm25_topk(spark, str(tmp_path)).orderBy("rank").collect()] == [2, 3]

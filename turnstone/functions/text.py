@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 @F.pandas_udf(StringType())
@@ -20,6 +20,44 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t).strip())
+
+
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t).strip().casefold())
+
+
+def nfc(text: Column) -> Column:
+    """NFC, stripped."""
+    return _nfc(text)
+
+
+def folded(text: Column) -> Column:
+    """What texts have in common that differ only in case, canonical form and outer white space."""
+    return _folded(text)
+
+
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """JSON without blanks, keys in order at every level, nulls written; ``kind`` is the type of ``value``."""
+    text = F.to_json(F.struct(_ordered(value, kind).alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(6), F.length(text) - 6)
+
+
+def _ordered(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(_ordered(value.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, MapType):
+        sorted_map = F.map_from_entries(F.array_sort(F.map_entries(value)))
+        return F.transform_values(sorted_map, lambda _, x: _ordered(x, kind.valueType))
+    return value
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -59,6 +97,12 @@ def seconds(text: Column) -> Column:
     return F.when(F.length(plain) == 0, None).when(n == 1, plain.try_cast("double")).when(n == 2, two).when(n == 3, three).cast("double")
 
 
+def strict_seconds(text: Column) -> Column:
+    """As `seconds`, but a text that is no time raises; null and blank ones stay null."""
+    found = seconds(text)
+    return F.when(found.isNull() & (F.length(strip(text)) > 0), F.raise_error(F.concat(F.lit("not a time: "), text)).cast("double")).otherwise(found)
+
+
 def clock(secs: Column) -> Column:
     """HH:MM:SS.mmm of seconds."""
     ms = F.round(secs * 1000).cast("long")

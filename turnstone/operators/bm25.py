@@ -105,20 +105,20 @@ def ensure_index(chunks: DataFrame, path: str, rules: TermRules = TermRules(), i
     rebuilt = not exists(spark, f"{home}/frequencies/_SUCCESS")
     buckets = max(LEAST_BUCKETS, -(-input_bytes(chunks) // BUCKET_BYTES))
     if rebuilt:
-        built = build_index(own, rules)
-        built.terms.write.mode("overwrite").parquet(f"{home}/terms")
-        index = Index(spark.read.parquet(f"{home}/terms"), rules.ngrams)
-        postings = index.postings.withColumn("bucket", bucket(buckets))
+        build_index(own, rules).terms.write.mode("overwrite").parquet(f"{home}/terms")
+    terms = spark.read.parquet(f"{home}/terms")
+    postings = Index(terms, rules.ngrams).postings.withColumn("bucket", bucket(buckets))
+    if rebuilt:
         placed = postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "col", "key")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/postings")
-        counted = spark.read.parquet(f"{home}/postings").groupBy("bucket", "col", "key").agg(F.count(F.lit(1)).alias("df"))
+        counted = spark.read.schema(postings.schema).parquet(f"{home}/postings").groupBy("bucket", "col", "key").agg(F.count(F.lit(1)).alias("df"))
         counted.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{home}/frequencies")
         for other in children(spark, path):
             if other != name:
                 remove(spark, f"{path.rstrip('/')}/{other}")
     frequencies = spark.read.parquet(f"{home}/frequencies")
     held = frequencies.first()
-    return Index(spark.read.parquet(f"{home}/terms"), rules.ngrams, spark.read.parquet(f"{home}/postings"), frequencies, held.buckets if held else 0), rebuilt
+    return Index(terms, rules.ngrams, spark.read.schema(postings.schema).parquet(f"{home}/postings"), frequencies, held.buckets if held else buckets), rebuilt
 
 
 def query_terms(queries: DataFrame, rules: TermRules = TermRules(), id_col: str = "qid", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.functions.text import nfkc, ratio, seconds, strip, unquote
+from turnstone.functions.text import folded, nfc, ratio, seconds, strip, unquote
 
 # Line formats, the name of an unknown speaker, and how a complete last sentence ends.
 SPEAKER_LINE = r"^\*\*([^*:\n]+):\*\*\s*(.*)$"
@@ -208,5 +208,12 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unique_terms(rows: DataFrame) -> DataFrame:
-    """pos, term: of the terms that are equal but for case and normal form the first one."""
-    return rows.groupBy(F.lower(nfkc(F.col("term"))).alias("k")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos")).select("pos", "term")
+    """pos, term: of the terms that are equal but for case and canonical form the first one, in canonical form."""
+    first = rows.groupBy(folded(F.col("term")).alias("k")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos"))
+    return first.where("k <> ''").select("pos", nfc(F.col("term")).alias("term"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """source, source_sha256 of the files at a path; one file is one row."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("path").alias("source"), F.sha2("content", 256).alias("source_sha256"))
