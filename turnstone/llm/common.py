@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnstone.sources.shared import input_bytes, shared_dir  # noqa: F401  the operators have both from here
+
 #: A key is hot from this share of the rows; so at most 1000 keys can be hot, whatever the input.
 HOT_SHARE = 0.001
 
@@ -16,25 +16,6 @@ HOT_SHARE = 0.001
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder will do for a session that runs in one process; a cluster's
-    executors would each write to their own disks, so there it raises.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _private_dir()
-    return found.rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _private_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="turnstone-")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,16 +44,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Stored bytes of the tables that a DataFrame reads, as the planner knows them; no job is run.
-
-    A source of unknown size (the planner then takes the largest number there is) counts as none.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.length())]
-    return sum(n for n in sizes if n < 1 << 62)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
