@@ -182,9 +182,11 @@ def shingle_sets(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have sets of shingles of at least this similarity."""
     pairs = keep(pairs.distinct(), "set-pairs")
+    total = pairs.count()
+    if not total:
+        return pairs
     wanted = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
     texts = keep(texts.join(wanted, "at", "left_semi"), "set-texts")
-    total = pairs.count()
     for end in ("b", "a"):  # the pairs of one a come together
         hot = [r[end] for r in pairs.groupBy(end).count().where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
         pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("text").alias(f"{end}_text")), end, hot, "inner")
@@ -204,13 +206,22 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return keep(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "set-links", total)
 
 
-def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """a, b: links whose components are those of all sets of at least this similarity.
+def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """v, root: the component of each set that is as similar at least to another one.
 
     ``sets`` has at, n and keys of one row for each set, ``texts`` at and text.
     """
-    links, crowd, few = None, None, F.col("m") <= FEW
+    links, labels, crowd, few = None, None, None, F.col("m") <= FEW
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        found = verified(pairs, texts, size, similarity)
+        if links is None:
+            links, labels = found, None
+        elif found.head(1):
+            links, labels = links.unionByName(found), None
+
     for level in range(len(LEVELS)):
         if crowd is not None:
             sets = keep(shingle_sets(texts.join(crowd, "at", "left_semi"), size, level), "set-keys")
@@ -219,21 +230,20 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
         total = sets.count()
         hot = [r.key for r in buckets.where(F.col("m") > max(1.0, HOT_SHARE * total * LEVELS[level][1])).collect()] if total > 1 / HOT_SHARE else []
         members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
-        star = members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"))
-        found = verified(star, texts, size, similarity)
-        links = found if links is None else links.unionByName(found)
-        labels = keep(components(links), "set-labels")
+        add(members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b")))
+        if labels is None:
+            labels = components(links)
         named = members.join(labels.withColumnRenamed("v", "at"), "at", "left").select("key", "at", "n", "m", F.coalesce("root", "at").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("m").alias("m")).where("lo <> hi").select("key")
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         named = keep(named.join(mixed, "key", "left_semi"), "set-mixed")
         row = F.struct("at", "n", "label")
         together = named.where(few).groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
         pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"])), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
-        links = links.unionByName(verified(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), texts, size, similarity))
+        add(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
         crowd = keep(named.where(~few).select("at").distinct(), "set-crowd")
         if not crowd.head(1):
             break
-    return links
+    return components(links) if labels is None else labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,7 +314,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         placed = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     else:
         once = sets.join(classes.select("at"), "at", "left_semi")
-        roots = components(similar_links(keep(once.select("at", "n", "keys"), "set-classes"), texts, size, similarity)).withColumnRenamed("v", "at")
+        roots = similar_roots(keep(once.select("at", "n", "keys"), "set-classes"), texts, size, similarity).withColumnRenamed("v", "at")
         placed = classes.join(roots, "at", "left").select("first", F.coalesce("root", "at").alias("root"))
     stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
     go = keep(rows.select("at").join(stay, "at", "left_anti"), "rows-to-go", rows.count())  # fewer than those that stay
