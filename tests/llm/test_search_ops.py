@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from turnstone.llm import decontaminate, neardup
@@ -292,6 +293,26 @@ def test_pivots_discard_pairs(spark):
     assert discarded <= far and len(discarded) > 0.6 * len(far) > 100
 
 
+def test_bins_discard_what_is_not_similar(spark):
+    """Pairs of sets of similarity 0.8 and more all pass; long ones of 0.5 hardly ever do."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 400
+    for kind, similarity in (("near", 0.81), ("far", 0.5)):
+        for k in range(n):
+            size = (6, 40, 300, 3000)[k % 4]
+            shared = -(-int(100 * size * similarity) // 100)
+            hashes = rng.integers(0, 1 << 63, 2 * size - shared, np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * size - shared, np.uint64)
+            union = len(hashes)
+            both = int(similarity * union) + 1  # of the union in both sets
+            own = (union - both) // 2
+            a, b = hashes[: both + own], np.concatenate([hashes[:both], hashes[both + own :]])
+            rows.append((kind, size, neardup.bins(np.sort(a)), neardup.bins(np.sort(b))))
+    found = spark.createDataFrame(rows, "kind string, size int, a array<long>, b array<long>").select("kind", "size", neardup.alike(F.col("a"), F.col("b"), 0.8).alias("pass")).collect()
+    assert all(r["pass"] for r in found if r.kind == "near")
+    assert sum(r["pass"] for r in found if r.kind == "far" and r.size == 3000) == 0
+    assert sum(r["pass"] for r in found if r.kind == "far" and r.size == 300) < 0.3 * n / 4
+
+
 @pytest.mark.parametrize("few", [neardup.FEW, 3])
 def test_near_copies_of_the_pipeline(spark, few):
     """The stage keeps one text of each group linked by 5-word shingles of similarity 0.8, found by brute force."""

@@ -23,7 +23,8 @@ Near copies by similarity (``similarity`` given, as the pipeline does) lie many
 found another way: texts with the same set of shingles are one class; min-hashes of the sets place each class under
 keys, and classes that meet are verified by the similarity (Jaccard) of their own shingles.  Only components
 matter, so each class under a key is first compared with the least one there, and then only classes that are still in
-different components are.  Keys of over ``FEW`` classes in different components go on to keys of more rows, of which
+different components are.  Pairs whose sets can't be so similar, by one bit of the
+least hash of each part of the hashes' range, are discarded first (`alike`).  Keys of over ``FEW`` classes in different components go on to keys of more rows, of which
 there are so many that recall stays: see ``LEVELS``.
 """
 
@@ -52,6 +53,7 @@ BASE = _RANDOM.getrandbits(64)
 IN_BLOCK = [[BASE ^ sum(1 << b for b in block if _RANDOM.random() < 0.5) for _ in range(BLOCK_PIVOTS)] for block in BLOCKS]
 FREE = [_RANDOM.getrandbits(64) for _ in range(FREE_PIVOTS)]
 KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
+BINS, DEVIATIONS = 512, 5.5
 _MOST = max(rows * bands for rows, bands in LEVELS)
 _TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(_MOST)], np.uint64)
 _PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(_MOST)], np.uint64)
@@ -149,13 +151,38 @@ def links(classes: DataFrame, n: int) -> DataFrame:
     return keep(found.distinct(), "links", 8 * buckets.count())
 
 
-def set_keys(text: str | None, size: int = NEAR_SHINGLE, level: int = 0) -> tuple[int, int, list[int]]:
-    """A digest of a text's set of shingles, their number, and the keys of its min-hashes; without words none."""
+def bins(hashes: np.ndarray) -> list[int]:
+    """One bit of the least hash of each of BINS parts of the range of hashes (sorted), and which parts have one: 2 x BINS bits."""
+    part = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    bits = np.zeros((2, BINS), np.uint8)
+    bits[0, part[first]] = (hashes[first] & np.uint64(1)).astype(np.uint8)
+    bits[1, part[first]] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """If sets of these `bins` can be so similar; if they are, this is false once in ten million times.
+
+    Of the parts that either set has, a share as large as the similarity has the same least hash; their bits
+    agree, and those of half of the other parts that both have.
+    """
+    half = BINS // 64
+    add = lambda columns: sum(columns[1:], columns[0])
+    both = [a[half + k].bitwiseAND(b[half + k]) for k in range(half)]
+    either = add([F.bit_count(a[half + k].bitwiseOR(b[half + k])) for k in range(half)])
+    agree = add([F.bit_count(both[k].bitwiseAND(F.bitwise_not(a[k].bitwiseXOR(b[k])))) for k in range(half)])
+    same = 2 * agree - add([F.bit_count(x) for x in both])
+    return same >= similarity * either - DEVIATIONS * F.sqrt((1 - similarity**2) * either)
+
+
+def set_keys(text: str | None, size: int = NEAR_SHINGLE, level: int = 0) -> tuple[int, int, list[int], list[int]]:
+    """A digest of a text's set of shingles, their number, the keys of its min-hashes, and its `bins`; without words none."""
     from xxhash import xxh64_intdigest
 
     found = set(shingles(text, size))
     if not found:
-        return 0, 0, []
+        return 0, 0, [], [0] * (BINS // 32)
     rows, bands = LEVELS[level]
     hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
     least = np.full(rows * bands, np.uint64((1 << 64) - 1))
@@ -163,20 +190,20 @@ def set_keys(text: str | None, size: int = NEAR_SHINGLE, level: int = 0) -> tupl
     for at in range(0, len(hashes), at_once):
         least = np.minimum(least, (hashes[at : at + at_once, None] * _TIMES[: len(least)] + _PLUS[: len(least)]).min(axis=0))
     keys = [_SIGNED(xxh64_intdigest(b.tobytes(), 1000 * level + k)) for k, b in enumerate(least.reshape(bands, rows))]
-    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), keys
+    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), keys, bins(hashes)
 
 
 def shingle_sets(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
-    """at, fp (the digest of the set), n (its size), keys of rows of at and text."""
+    """at, fp (the digest of the set), n (its size), keys, bins of rows of at and text."""
     bound_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
             found = [set_keys(t, size, level) for t in batch.column(1).to_pylist()]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[], [], []], (pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "fp", "n", "keys"])
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "fp", "n", "keys", "bins"])
 
-    return texts.select("at", "text").mapInArrow(run, "at long, fp long, n int, keys array<long>")
+    return texts.select("at", "text").mapInArrow(run, "at long, fp long, n int, keys array<long>, bins array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -209,8 +236,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """v, root: the component of each set that is as similar at least to another one.
 
-    ``sets`` has at, n and keys of one row for each set, ``texts`` at and text.
+    ``sets`` has at, n, keys and bins of one row for each set, ``texts`` at and text.  Pairs whose bins rule the
+    similarity out are discarded before any text is read.
     """
+    known = sets.select("at", "bins")
     links, labels, crowd, few = None, None, None, F.col("m") <= FEW
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
@@ -230,15 +259,20 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
         total = sets.count()
         hot = [r.key for r in buckets.where(F.col("m") > max(1.0, HOT_SHARE * total * LEVELS[level][1])).collect()] if total > 1 / HOT_SHARE else []
         members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
-        add(members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b")))
+        star = members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"))
+        star = keep(star.distinct(), "set-stars")
+        ends = star.groupBy("a").count()
+        many = [r.a for r in ends.where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
+        star = join_hot(star.join(known.select(F.col("at").alias("b"), F.col("bins").alias("b_bins")), "b"), known.select(F.col("at").alias("a"), F.col("bins").alias("a_bins")), "a", many, "inner")
+        add(star.where(alike(F.col("a_bins"), F.col("b_bins"), similarity)).select("a", "b"))
         if labels is None:
             labels = components(links)
         named = members.join(labels.withColumnRenamed("v", "at"), "at", "left").select("key", "at", "n", "m", F.coalesce("root", "at").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         named = keep(named.join(mixed, "key", "left_semi"), "set-mixed")
-        row = F.struct("at", "n", "label")
-        together = named.where(few).groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
-        pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"])), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
+        row = F.struct("at", "n", "label", "bins")
+        together = named.where(few).join(known, "at").groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
+        pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"]) & alike(a["bins"], b["bins"], similarity)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
         add(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
         crowd = keep(named.where(~few).select("at").distinct(), "set-crowd")
         if not crowd.head(1):
@@ -314,7 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         placed = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     else:
         once = sets.join(classes.select("at"), "at", "left_semi")
-        roots = similar_roots(keep(once.select("at", "n", "keys"), "set-classes"), texts, size, similarity).withColumnRenamed("v", "at")
+        roots = similar_roots(keep(once.select("at", "n", "keys", "bins"), "set-classes"), texts, size, similarity).withColumnRenamed("v", "at")
         placed = classes.join(roots, "at", "left").select("first", F.coalesce("root", "at").alias("root"))
     stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
     go = keep(rows.select("at").join(stay, "at", "left_anti"), "rows-to-go", rows.count())  # fewer than those that stay
