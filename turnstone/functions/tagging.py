@@ -18,7 +18,7 @@ def _spaceless(text: Column) -> Column:
 
 
 def number_pattern(rules: TagRules) -> str:
-    return r"(?U)(?<!\d)(\d{2,4})\s*" + "".join(rf"\x{{{ord(c):x}}}" for c in rules.number_unit)
+    return rf"(?U)(?<!\d)(\d{{2,4}})\s*\Q{rules.number_unit}\E"
 
 
 def _labels(*columns: Column) -> Column:
