@@ -15,6 +15,11 @@ def tables(spark, sf=SF):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
 
 
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    return toxicity.train(*tables(spark, LARGER))
+
+
 def odd(spark):
     return spark.createDataFrame(ODD, "doc_id long, text string, lang string, score int")
 
@@ -31,9 +36,8 @@ def test_held_out_accuracy(spark, module, score, label, least):
     assert np.mean([r.predicted == y for r, y in held]) >= least
 
 
-def test_misspellings_share_vectors(spark):
-    docs, labels = tables(spark, LARGER)
-    model = toxicity.train(docs, labels)
+def test_misspellings_share_vectors(toxic_model):
+    model = toxic_model
     clean = "Ered the of heder thing and onre"
     for word in ("idiot", "worthless", "pathetic", "disgusting"):
         misspelt = model.score(f"{clean} {word}{word[-1]}s of the")
@@ -48,9 +52,9 @@ def test_toxic_filter_keeps_columns(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == wanted
 
 
-def test_a_repeated_text_keeps_its_class(spark):
+def test_a_repeated_text_keeps_its_class(spark, toxic_model):
     docs, labels = tables(spark, LARGER)
-    model = toxicity.train(docs, labels)
+    model = toxic_model
     known = {r.doc_id: r.toxic for r in labels.collect()}
     long = [(r.text, known.get(r.doc_id)) for r in docs.where("n_chars between 1500 and 4000").orderBy("doc_id").limit(300).collect() if r.doc_id in known]
     assert {y for _, y in long} == {0, 1}

@@ -39,7 +39,7 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, in rows and in bytes."""
+    """Bound what one Arrow batch of this session holds, in rows and in bytes; for good, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
