@@ -54,6 +54,7 @@ IN_BLOCK = [[BASE ^ sum(1 << b for b in block if _RANDOM.random() < 0.5) for _ i
 FREE = [_RANDOM.getrandbits(64) for _ in range(FREE_PIVOTS)]
 KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
 BINS, DEVIATIONS = 512, 5.5
+TEXTS_A_TASK = 1000
 _MOST = max(rows * bands for rows, bands in LEVELS)
 _TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(_MOST)], np.uint64)
 _PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(_MOST)], np.uint64)
@@ -230,7 +231,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                 linked.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return keep(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "set-links", total)
+    dealt = pairs.select("a", "b", "a_text", "b_text").repartition(-(-total // TEXTS_A_TASK))  # small in bytes, yet much work
+    return keep(dealt.mapInArrow(run, "a long, b long"), "set-links", total)
 
 
 def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -253,7 +255,8 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
 
     for level in range(len(LEVELS)):
         if crowd is not None:
-            sets = keep(shingle_sets(texts.join(crowd, "at", "left_semi"), size, level), "set-keys")
+            dealt = texts.join(crowd, "at", "left_semi").repartition(-(-crowd.count() // TEXTS_A_TASK))
+            sets = keep(shingle_sets(dealt, size, level), "set-keys")
         rows = sets.select("at", "n", F.explode("keys").alias("key"))
         buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
         total = sets.count()
