@@ -43,3 +43,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_glossary_of_letters_that_fold_to_others(spark, tmp_path):
+    texts = ["SS ß ss stra\u00dfe STRASSE", "ΟΔΟΣ οδοσ οδος e\u0301 \u00e9 É İ i", "", " a\x0bb a\u00a0b\fA  ", "𐐀 𐐨", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    found = QUERIES["glossary_terms"](spark, str(tmp_path))
+    assert canonical([tuple(r) for r in found.collect()], found.columns) == canonical(con.execute(ORACLES["glossary_terms"]).fetchall(), ["pos", "term"])

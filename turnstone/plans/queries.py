@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import tagging
 from turnstone.functions.rules import LATIN_EXACT, LATIN_TAGS, LATIN_TERMS
+from turnstone.functions.text import lower_each
 from turnstone.operators import answering, audit, bm25, calibration, chunking, evaluation, store
 from turnstone.sources import datasets, sinks, transcripts
 from turnstone.sources.shared import shared_dir
@@ -428,8 +429,8 @@ def artifact_problems(spark, sf_dir):
 
 def glossary_terms(spark, sf_dir):
     """Distinct words of the benchmark but for case, in the spelling that comes first."""
-    words = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\s+")).alias("k", "term"))
-    return transcripts.unique_terms(words.select((F.col("item_id") * 100_000 + F.col("k")).alias("pos"), "term"))
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[ \t\n\f\r]+")).alias("k", "term"))
+    return transcripts.unique_terms(words.select((F.col("item_id") * 100_000 + F.col("k")).alias("pos"), "term"), lower_each)
 
 
 def markdown_parse_metrics(spark, sf_dir):
