@@ -361,3 +361,26 @@ def test_near_copies_of_the_pipeline(spark, few):
         neardup.FEW = old
     assert kept == sorted(least.values())
     assert len(kept) < neardup.near_duplicates(docs).select("component_id").distinct().count()
+
+
+def _sets(spark, texts, keys):
+    """Texts, and their sets under the keys given."""
+    rows = [(at, n, own, bits) for (at, own), (_, n, _, bits) in zip(keys.items(), (neardup.set_keys(texts[at]) for at in keys))]
+    return spark.createDataFrame(rows, "at long, n int, keys array<long>, bins array<long>"), spark.createDataFrame(list(texts.items()), "at long, text string")
+
+
+def test_many_sets_are_least_of_several_keys(spark):
+    """More than a thousand sets that have pairs for over a thousandth of the sets each."""
+    texts = {k: " ".join(f"w{k}x{j}" for j in range(40)) for k in range(1100)}
+    sets, texts = _sets(spark, texts, {k: [k, k - 1, k - 2] for k in texts})
+    assert neardup.similar_roots(sets, texts, 5, 0.8).count() == 0
+
+
+def test_pairs_under_full_keys_of_the_last_level(spark, monkeypatch):
+    """Two near copies that share all their keys, full ones, with a lesser set that is not so similar."""
+    words = [f"w{k}" for k in range(60)]
+    texts = {0: " ".join(words[:40] + ["x"] * 20), 1: " ".join(words), 2: " ".join(words[:-1])}
+    sets, texts = _sets(spark, texts, {0: [7], 1: [7], 2: [7]})
+    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "shingle_sets", lambda dealt, size, level: sets)
+    assert {(r.v, r.root) for r in neardup.similar_roots(sets, texts, 5, 0.8).collect()} == {(1, 1), (2, 1)}

@@ -25,7 +25,7 @@ keys, and classes that meet are verified by the similarity (Jaccard) of their ow
 matter, so each class under a key is first compared with the least one there, and then only classes that are still in
 different components are.  Pairs whose sets can't be so similar, by one bit of the
 least hash of each part of the hashes' range, are discarded first (`alike`).  Keys of over ``FEW`` classes in different components go on to keys of more rows, of which
-there are so many that recall stays: see ``LEVELS``.
+there are so many that recall stays (``LEVELS``); under the last keys all pairs are compared, however many they are.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
 FEW = 64
 NEAR_SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle and least similarity of near copies
-LEVELS = ((4, 20), (8, 60), (12, 160))  # min-hashes to a key, keys: two sets of similarity 0.8 miss all of a level once in 40,000 times or less often
+LEVELS = ((4, 20), (12, 160))  # min-hashes to a key, keys: two sets of similarity 0.8 miss all of a level once in 40,000 times or less often
 BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
 BLOCK_PIVOTS, FREE_PIVOTS = 8, 16
 _RANDOM = random.Random(20240501)
@@ -54,7 +54,8 @@ IN_BLOCK = [[BASE ^ sum(1 << b for b in block if _RANDOM.random() < 0.5) for _ i
 FREE = [_RANDOM.getrandbits(64) for _ in range(FREE_PIVOTS)]
 KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
 BINS, DEVIATIONS = 512, 5.5
-TEXTS_A_TASK = 1000
+TEXTS_A_TASK, MOST_TASKS = 1000, 2000
+EASY = 1000  # rows of one key that need no route of their own
 _MOST = max(rows * bands for rows, bands in LEVELS)
 _TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(_MOST)], np.uint64)
 _PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(_MOST)], np.uint64)
@@ -207,6 +208,12 @@ def shingle_sets(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
     return texts.select("at", "text").mapInArrow(run, "at long, fp long, n int, keys array<long>, bins array<long>")
 
 
+def frequent(rows: DataFrame, key: str, total: int) -> list:
+    """The values of a column that stand in over HOT_SHARE of the rows, of which there are ``total``; none that one task takes easily."""
+    most = max(EASY, HOT_SHARE * total)
+    return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).collect()] if total > most else []
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have sets of shingles of at least this similarity."""
     pairs = keep(pairs.distinct(), "set-pairs")
@@ -216,8 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     wanted = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
     texts = keep(texts.join(wanted, "at", "left_semi"), "set-texts")
     for end in ("b", "a"):  # the pairs of one a come together
-        hot = [r[end] for r in pairs.groupBy(end).count().where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
-        pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("text").alias(f"{end}_text")), end, hot, "inner")
+        pairs = join_hot(pairs, texts.select(F.col("at").alias(end), F.col("text").alias(f"{end}_text")), end, frequent(pairs.select(end), end, total), "inner")
 
     def run(batches):
         last, own = None, set()
@@ -231,8 +237,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                 linked.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    dealt = pairs.select("a", "b", "a_text", "b_text").repartition(-(-total // TEXTS_A_TASK))  # small in bytes, yet much work
-    return keep(dealt.mapInArrow(run, "a long, b long"), "set-links", total)
+    # small in bytes, yet much work: so many tasks, which are not drawn together again when their few rows are written
+    dealt = pairs.select("a", "b", "a_text", "b_text").repartition(min(MOST_TASKS, -(-total // TEXTS_A_TASK)))
+    return keep(dealt.mapInArrow(run, "a long, b long"), "set-links")
 
 
 def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -255,17 +262,16 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
 
     for level in range(len(LEVELS)):
         if crowd is not None:
-            dealt = texts.join(crowd, "at", "left_semi").repartition(-(-crowd.count() // TEXTS_A_TASK))
+            dealt = texts.join(crowd, "at", "left_semi").repartition(min(MOST_TASKS, -(-crowd.count() // TEXTS_A_TASK)))
             sets = keep(shingle_sets(dealt, size, level), "set-keys")
         rows = sets.select("at", "n", F.explode("keys").alias("key"))
         buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
-        total = sets.count()
-        hot = [r.key for r in buckets.where(F.col("m") > max(1.0, HOT_SHARE * total * LEVELS[level][1])).collect()] if total > 1 / HOT_SHARE else []
+        most = max(EASY, HOT_SHARE * LEVELS[level][1] * sets.count())
+        hot = [r.key for r in buckets.where(F.col("m") > most).collect()]
         members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
         star = members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"))
         star = keep(star.distinct(), "set-stars")
-        ends = star.groupBy("a").count()
-        many = [r.a for r in ends.where(F.col("count") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
+        many = frequent(star.select("a"), "a", star.count())  # a set has many pairs: these are more than the sets
         star = join_hot(star.join(known.select(F.col("at").alias("b"), F.col("bins").alias("b_bins")), "b"), known.select(F.col("at").alias("a"), F.col("bins").alias("a_bins")), "a", many, "inner")
         add(star.where(alike(F.col("a_bins"), F.col("b_bins"), similarity)).select("a", "b"))
         if labels is None:
@@ -277,9 +283,17 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
         together = named.where(few).join(known, "at").groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
         pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"]) & alike(a["bins"], b["bins"], similarity)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
         add(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-        crowd = keep(named.where(~few).select("at").distinct(), "set-crowd")
+        full = named.where(~few)
+        crowd = keep(full.select("at").distinct(), "set-crowd")
         if not crowd.head(1):
             break
+    else:
+        # sets that even the longest keys don't part: all pairs under them, however many, are compared by their bins
+        full = full.join(known, "at").select("key", *(F.col(c).alias(f"a_{c}") for c in ("at", "n", "label", "bins")))
+        other = full.select("key", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("at", "n", "label", "bins")))
+        differ = (F.col("a_at") < F.col("b_at")) & (F.col("a_label") != F.col("b_label")) & near(F.col("a_n"), F.col("b_n"))
+        both = full.join(other, "key").where(differ & alike(F.col("a_bins"), F.col("b_bins"), similarity))
+        add(both.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
     return components(links) if labels is None else labels
 
 
@@ -292,9 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
         moved = labels.join(near, labels.v == near.a).select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         moved = keep(moved, "labels", most)
-        counts = moved.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-        total = moved.count()
-        hot = [r.l for r in counts.where(F.col("n") > max(1.0, HOT_SHARE * total)).collect()] if total > 1 / HOT_SHARE else []
+        hot = frequent(moved.select("l"), "l", moved.count())
         parents = moved.select(F.col("v").alias("l"), F.col("l").alias("up"))
         labels = keep(join_hot(moved, parents, "l", hot).select("v", "old", F.least("l", "up").alias("l")), "labels", most)
         if not labels.where("l <> old").head(1):
