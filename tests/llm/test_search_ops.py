@@ -384,3 +384,29 @@ def test_pairs_under_full_keys_of_the_last_level(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FEW", 2)
     monkeypatch.setattr(neardup, "shingle_sets", lambda dealt, size, level: sets)
     assert {(r.v, r.root) for r in neardup.similar_roots(sets, texts, 5, 0.8).collect()} == {(1, 1), (2, 1)}
+
+
+def test_large_groups_of_almost_near_copies(spark, monkeypatch):
+    """A crowd about one text: those near it are one group, those that are not near any make few pairs to verify."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+
+    def copy(own, *places):
+        return " ".join(f"own{own}" if k in places else w for k, w in enumerate(base))
+
+    texts = {k: copy(k, 10 + k, 70) for k in range(60)}  # near the base, of a similarity of 0.75 to 0.93 to each other
+    texts |= {100 + k: copy(100 + k, *(8 * j + rnd.randrange(3) for j in rnd.sample(range(18), 4))) for k in range(150)}  # about 0.76 to the base
+    texts |= {300: " ".join(base), 301: texts[120] + " more"}  # a near copy of one of those
+    monkeypatch.setattr(neardup, "FEW", 3)
+    seen, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
+    kept = neardup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=5, similarity=0.8)
+    sets = {k: set(neardup.shingles(t, 5)) for k, t in texts.items()}
+    least = {k: k for k in texts}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*least.values()})
+    assert sum(seen) < 10 * len(texts)

@@ -24,13 +24,14 @@ found another way: texts with the same set of shingles are one class; min-hashes
 keys, and classes that meet are verified by the similarity (Jaccard) of their own shingles.  Only components
 matter, so each class under a key is first compared with the least one there, and then only classes that are still in
 different components are.  Pairs whose sets can't be so similar, by one bit of the
-least hash of each part of the hashes' range, are discarded first (`alike`).  Keys of over ``FEW`` classes in different components go on to keys of more rows, of which
-there are so many that recall stays (``LEVELS``); under the last keys all pairs are compared, however many they are.
+least hash of each part of the hashes' range, are discarded first (`alike`).  The classes of keys of over ``FEW``, where some are
+in different components, meet under their rare shingles instead (`crowd_pairs`): exactly, and what a large group has in common finds no pair of it.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import uuid
 
@@ -44,7 +45,8 @@ from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
 FEW = 64
 NEAR_SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle and least similarity of near copies
-LEVELS = ((4, 20), (12, 160))  # min-hashes to a key, keys: two sets of similarity 0.8 miss all of a level once in 40,000 times or less often
+ROWS, BANDS = 4, 20  # min-hashes to a key, keys: two sets of similarity 0.8 miss all keys once in 40,000 times
+ORDERED = 20_000  # the most frequent shingles of a crowd, which come last in the order
 BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
 BLOCK_PIVOTS, FREE_PIVOTS = 8, 16
 _RANDOM = random.Random(20240501)
@@ -56,9 +58,8 @@ KEYS = list(itertools.combinations(range(len(BLOCKS)), 3))
 BINS, DEVIATIONS = 512, 5.5
 TEXTS_A_TASK, MOST_TASKS = 1000, 2000
 EASY = 1000  # rows of one key that need no route of their own
-_MOST = max(rows * bands for rows, bands in LEVELS)
-_TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(_MOST)], np.uint64)
-_PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(_MOST)], np.uint64)
+_TIMES = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(ROWS * BANDS)], np.uint64)
+_PLUS = np.array([_RANDOM.getrandbits(64) for _ in range(ROWS * BANDS)], np.uint64)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -178,30 +179,29 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
     return same >= similarity * either - DEVIATIONS * F.sqrt((1 - similarity**2) * either)
 
 
-def set_keys(text: str | None, size: int = NEAR_SHINGLE, level: int = 0) -> tuple[int, int, list[int], list[int]]:
+def set_keys(text: str | None, size: int = NEAR_SHINGLE) -> tuple[int, int, list[int], list[int]]:
     """A digest of a text's set of shingles, their number, the keys of its min-hashes, and its `bins`; without words none."""
     from xxhash import xxh64_intdigest
 
     found = set(shingles(text, size))
     if not found:
         return 0, 0, [], [0] * (BINS // 32)
-    rows, bands = LEVELS[level]
     hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
-    least = np.full(rows * bands, np.uint64((1 << 64) - 1))
+    least = np.full(ROWS * BANDS, np.uint64((1 << 64) - 1))
     at_once = (1 << 18) // len(least)
     for at in range(0, len(hashes), at_once):
-        least = np.minimum(least, (hashes[at : at + at_once, None] * _TIMES[: len(least)] + _PLUS[: len(least)]).min(axis=0))
-    keys = [_SIGNED(xxh64_intdigest(b.tobytes(), 1000 * level + k)) for k, b in enumerate(least.reshape(bands, rows))]
+        least = np.minimum(least, (hashes[at : at + at_once, None] * _TIMES + _PLUS).min(axis=0))
+    keys = [_SIGNED(xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(least.reshape(BANDS, ROWS))]
     return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), keys, bins(hashes)
 
 
-def shingle_sets(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """at, fp (the digest of the set), n (its size), keys, bins of rows of at and text."""
     bound_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = [set_keys(t, size, level) for t in batch.column(1).to_pylist()]
+            found = [set_keys(t, size) for t in batch.column(1).to_pylist()]
             columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "fp", "n", "keys", "bins"])
 
@@ -242,6 +242,78 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return keep(dealt.mapInArrow(run, "a long, b long"), "set-links")
 
 
+def crowd_prefixes(crowd: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """at, n, first: the `prefixes` of the sets of a crowd (at).
+
+    The hashes are in one order, the frequent ones of the crowd last, so what all of a large group share comes late.
+    """
+    dealt = texts.join(crowd, "at", "left_semi").repartition(min(MOST_TASKS, -(-crowd.count() // TEXTS_A_TASK)))
+    held = keep(hashed_sets(dealt, size), "crowd-sets")
+    counts = held.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW)
+    return keep(prefixes(held, {r.h: r.c for r in counts.orderBy(F.desc("c"), "h").limit(ORDERED).collect()}, similarity), "crowd-prefixes")
+
+
+def crowd_pairs(first: DataFrame, labels: DataFrame, similarity: float, star: bool) -> DataFrame:
+    """a, b: pairs of different labels that can be so similar, of `crowd_prefixes` and labels (at, label).
+
+    Two sets that are so similar share a hash among the first of each, and from the first hash that they share on
+    either set has as many as they have in common, or more.  All such pairs are found; with ``star`` only those with the set
+    of each hash that has the fewest before it.
+    """
+    rows = first.join(labels, "at").select("at", "n", "label", F.posexplode("first").alias("pos", "h"))
+    of_label = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min(F.struct("pos", "at", "n", "label")).alias("b"))
+    shared = of_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.min("n").alias("least"), F.min("b").alias("b"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = rows.join(shared.select("h", F.col("top.label").alias("top"), "least", *([F.col("b")] if star else [])), "h")
+    needed = lambda a, b: F.ceil((a + b) * F.lit(similarity / (1 + similarity)) - 1e-6)  # noqa: E731  shingles in common
+    a = rows.select("h", *(F.col(c).alias(f"a_{c}") for c in ("at", "n", "pos", "label")), "top", "least", *([F.col(f"b.{c}").alias(f"b_{c}") for c in ("at", "n", "pos", "label")] if star else []))
+    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= needed(F.col("a_n"), F.col("b_n"))
+    if star:
+        found = a.where((F.col("a_label") != F.col("b_label")) & enough)
+    else:
+        a = a.where((F.col("a_label") != F.col("top")) & (F.col("a_n") - F.col("a_pos") >= needed(F.col("a_n"), F.greatest("least", F.col("a_n") * F.lit(similarity)))))
+        b = rows.select("h", *(F.col(c).alias(f"b_{c}") for c in ("at", "n", "pos", "label")))
+        once = (F.col("b_label") == F.col("top")) | (F.col("a_at") < F.col("b_at"))
+        found = a.join(b, "h").where((F.col("a_label") != F.col("b_label")) & once & enough)
+    return keep(found.select(F.least("a_at", "b_at").alias("a"), F.greatest("a_at", "b_at").alias("b")).distinct(), "crowd-pairs")
+
+
+def hashed_sets(rows: DataFrame, size: int) -> DataFrame:
+    """at, hashes (of the set of shingles) of rows of at and text."""
+    from xxhash import xxh64_intdigest
+
+    bound_batches(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [list({_SIGNED(xxh64_intdigest(s, SEED)) for s in set(shingles(t, size))}) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["at", "hashes"])
+
+    return rows.mapInArrow(run, "at long, hashes array<long>")
+
+
+def prefixes(sets: DataFrame, counts: dict[int, int], similarity: float) -> DataFrame:
+    """at, n, first: so many of a set's hashes, the frequent ones last, that two sets of this similarity share one of them.
+
+    Any order of all hashes is right; that by ``counts`` leaves few sets to a hash.
+    """
+    known = np.array(sorted(counts) or [0], np.int64)
+    times = np.array([counts.get(int(h), 0) for h in known], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            firsts, sizes = [], []
+            for hashes in batch.column(1).to_pylist():
+                h = np.array(hashes, np.int64)
+                slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                order = np.lexsort((h, np.where(known[slot] == h, times[slot], 0)))
+                sizes.append(len(h))
+                firsts.append(h[order][: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].tolist())
+            columns = [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "n", "first"])
+
+    return sets.mapInArrow(run, "at long, n int, first array<long>")
+
+
 def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """v, root: the component of each set that is as similar at least to another one.
 
@@ -249,52 +321,52 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
     similarity out are discarded before any text is read.
     """
     known = sets.select("at", "bins")
-    links, labels, crowd, few = None, None, None, F.col("m") <= FEW
+    links, labels = None, None
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
     def add(pairs: DataFrame) -> None:
+        """Link the pairs (kept, each once) that are so similar, by their bins and then by their texts."""
         nonlocal links, labels
-        found = verified(pairs, texts, size, similarity)
-        if links is None:
-            links, labels = found, None
-        elif found.head(1):
-            links, labels = links.unionByName(found), None
-
-    for level in range(len(LEVELS)):
-        if crowd is not None:
-            dealt = texts.join(crowd, "at", "left_semi").repartition(min(MOST_TASKS, -(-crowd.count() // TEXTS_A_TASK)))
-            sets = keep(shingle_sets(dealt, size, level), "set-keys")
-        rows = sets.select("at", "n", F.explode("keys").alias("key"))
-        buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
-        most = max(EASY, HOT_SHARE * LEVELS[level][1] * sets.count())
-        hot = [r.key for r in buckets.where(F.col("m") > most).collect()]
-        members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
-        star = members.where((F.col("at") != F.col("least.at")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"))
-        star = keep(star.distinct(), "set-stars")
-        many = frequent(star.select("a"), "a", star.count())  # a set has many pairs: these are more than the sets
-        star = join_hot(star.join(known.select(F.col("at").alias("b"), F.col("bins").alias("b_bins")), "b"), known.select(F.col("at").alias("a"), F.col("bins").alias("a_bins")), "a", many, "inner")
-        add(star.where(alike(F.col("a_bins"), F.col("b_bins"), similarity)).select("a", "b"))
-        if labels is None:
-            labels = components(links)
-        named = members.join(labels.withColumnRenamed("v", "at"), "at", "left").select("key", "at", "n", "m", F.coalesce("root", "at").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        named = keep(named.join(mixed, "key", "left_semi"), "set-mixed")
-        row = F.struct("at", "n", "label", "bins")
-        together = named.where(few).join(known, "at").groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
-        pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"]) & alike(a["bins"], b["bins"], similarity)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
-        add(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-        full = named.where(~few)
-        crowd = keep(full.select("at").distinct(), "set-crowd")
-        if not crowd.head(1):
-            break
-    else:
-        # sets that even the longest keys don't part: all pairs under them, however many, are compared by their bins
-        full = full.join(known, "at").select("key", *(F.col(c).alias(f"a_{c}") for c in ("at", "n", "label", "bins")))
-        other = full.select("key", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("at", "n", "label", "bins")))
-        differ = (F.col("a_at") < F.col("b_at")) & (F.col("a_label") != F.col("b_label")) & near(F.col("a_n"), F.col("b_n"))
-        both = full.join(other, "key").where(differ & alike(F.col("a_bins"), F.col("b_bins"), similarity))
-        add(both.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
-    return components(links) if labels is None else labels
+        many = frequent(pairs.select("a"), "a", pairs.count())  # a set has many pairs: these are more than the sets
+        pairs = join_hot(pairs.join(known.select(F.col("at").alias("b"), F.col("bins").alias("b_bins")), "b"), known.select(F.col("at").alias("a"), F.col("bins").alias("a_bins")), "a", many, "inner")
+        found = verified(pairs.where(alike(F.col("a_bins"), F.col("b_bins"), similarity)).select("a", "b"), texts, size, similarity)
+        if links is None or found.head(1):
+            links = found if links is None else links.unionByName(found)
+            labels = components(links).withColumnRenamed("v", "at")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "at", "left").withColumn("label", F.coalesce("root", "at")).drop("root")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (key, at, n, m) with their labels, and the least row of their keys; those of keys of several labels alone."""
+        rows = named(rows.select("key", "at", "n", "m"))
+        keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("at", "n", "label")).alias("least")).where("lo <> hi")
+        return keep(join_hot(rows, keys.select("key", "least"), "key", hot, "inner"), "set-mixed")
+
+    def star(rows: DataFrame) -> DataFrame:
+        return rows.where(near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"), "m", "key")
+
+    rows = sets.select("at", "n", F.explode("keys").alias("key"))
+    buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
+    most = max(EASY, HOT_SHARE * BANDS * sets.count())
+    hot = [r.key for r in buckets.where(F.col("m") > most).collect()]
+    members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
+    # of a group of near copies most are linked by one pair of each, under its fullest key; then by all first pairs across components
+    add(keep(star(members.where(F.col("at") != F.col("least.at"))).groupBy("b").agg(F.max_by("a", F.struct("m", "key")).alias("a")).select("a", "b"), "set-stars"))
+    members = mixed(members)
+    add(keep(star(members.where(F.col("label") != F.col("least.label"))).select("a", "b").distinct(), "set-stars"))
+    members = mixed(members)
+    few = F.col("m") <= FEW
+    row = F.struct("at", "n", "label", "bins")
+    together = members.where(few).join(known, "at").groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
+    pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"]) & alike(a["bins"], b["bins"], similarity)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
+    add(keep(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "set-pairs"))
+    crowd = keep(members.where(~few).select("at").distinct(), "set-crowd")
+    if crowd.head(1):
+        first = crowd_prefixes(crowd, texts, size, similarity)
+        for only_star in (True, False):
+            add(crowd_pairs(first, named(crowd), similarity, only_star))
+    return labels.withColumnRenamed("at", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
