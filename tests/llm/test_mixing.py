@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnstone.llm import mixing
 
@@ -136,3 +137,22 @@ def test_repeat_has_the_columns(spark):
 def test_no_python_on_the_executors(spark):
     plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("at_once", [mixing.AT_ONCE, 0])
+def test_repeat_of_many_rows(spark, monkeypatch, at_once):
+    """Each row as often as `mix` says, in several blocks of rows; texts are not shuffled while their copies can be broadcast."""
+    monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+    text = F.when(F.col("id") % 9 == 0, None).otherwise(F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7).cast("int"))))
+    docs = spark.range(0, 20_000, 1, 3).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("s"), F.col("id") % 5 % 3).alias("source"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.repeat(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert found == Counter({tuple(r): copies[r.doc_id] for r in docs.collect() if copies[r.doc_id]})
+    assert ("SortMergeJoin" in plan) == (not at_once)

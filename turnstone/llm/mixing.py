@@ -27,6 +27,7 @@ from turnstone.llm.common import HOT_SHARE, join_hot, keep
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a source is repeated so many times at most
 BLOCK, SALTS = 64, 1024
+AT_ONCE, BLOCK_BITS = 16 << 20, 12  # rows whose copies are broadcast; bits of a row's place in a block of them
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word
 
 
@@ -186,12 +187,23 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The mix itself: each row as often as `mix` takes it, with its columns as they were.
 
     Rows with a null text, or without words, are taken 0 times; null ids and sources, repeated rows and empty
-    tables are as in `mix`; columns may have any names.  Words are counted once, texts are shuffled once at most.
+    tables are as in `mix`; columns may have any names.  Words are counted once.  Up to ``AT_ONCE`` rows the copies
+    are broadcast, a byte for each, and texts stay where they are; of more rows texts are shuffled once.
     """
     mark = f"row_{uuid.uuid4().hex}"  # no column can have this name
     held = keep(docs.withColumn(mark, F.struct(*_rows(docs, id_col, text_col, source_col))), "rows")
-    found = _mixed(held.select(f"{mark}.*"), seed).where("copies > 0").select(F.col("at").alias(f"{mark}_at"), F.col("copies").alias(f"{mark}_copies"))
-    found = keep(found, "copies")
+    found = keep(_mixed(held.select(f"{mark}.*"), seed).select("at", "copies"), "copies")
     quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    joined = held.withColumn(f"{mark}_at", F.col(f"{mark}.at")).drop(mark).join(found, f"{mark}_at")
-    return joined.withColumn(mark, F.explode(F.array_repeat(F.lit(0), F.col(f"{mark}_copies")))).select(*quoted)
+    at = F.col(f"{mark}.at")
+    if found.count() <= AT_ONCE:
+        # numbers of a partition's rows have no gap, and a block begins at a multiple of its rows
+        listed = F.array_sort(F.collect_list(F.struct("at", F.col("copies").cast("byte").alias("copies"))))
+        blocks = found.groupBy(F.shiftright("at", BLOCK_BITS).alias(f"{mark}_block")).agg(F.transform(listed, lambda x: x["copies"]).alias(f"{mark}_copies"))
+        joined = held.withColumn(f"{mark}_block", F.shiftright(at, BLOCK_BITS)).join(F.broadcast(blocks), f"{mark}_block")
+        copies = F.element_at(f"{mark}_copies", (at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + 1).cast("int")).cast("int")
+    else:
+        found = found.where("copies > 0").select(F.col("at").alias(f"{mark}_at"), F.col("copies").alias(f"{mark}_copies"))
+        joined = held.withColumn(f"{mark}_at", at).join(found, f"{mark}_at")
+        copies = F.col(f"{mark}_copies")
+    joined = joined.select(*quoted, F.array_repeat(F.lit(0), copies).alias(f"{mark}_each"))
+    return joined.withColumn(mark, F.explode(f"{mark}_each")).select(*quoted)
