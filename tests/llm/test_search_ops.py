@@ -386,6 +386,46 @@ def test_pairs_under_full_keys_of_the_last_level(spark, monkeypatch):
     assert {(r.v, r.root) for r in neardup.similar_roots(sets, texts, 5, 0.8).collect()} == {(1, 1), (2, 1)}
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_near_copies_without_a_common_key(spark, known):
+    """Pairs that all keys miss are linked all the same, short and long ones, in whatever order the shingles are taken."""
+    texts = {0: [f"w{k}" for k in range(60)], 2: [f"v{k}" for k in range(3000)], 4: [f"u{k}" for k in range(60)]}
+    texts |= {1: [*texts[0], "more"], 3: [*texts[2][:2500], *("x" for _ in range(3)), *texts[2][2520:]], 5: [*texts[4][:30], "more", *texts[4][31:]]}
+    sets, texts = _sets(spark, {k: " ".join(t) for k, t in texts.items()}, {k: [k] for k in texts})
+    counts = np.random.default_rng(2).integers(0, 9, neardup.COUNTERS).astype(np.uint16) if known else None
+    found = {(r.v, r.root) for r in neardup.similar_roots(sets, texts, 5, 0.8, *([counts] if known else [])).collect()}
+    assert found == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4)}
+
+
+def test_bins_never_discard_surely(spark):
+    """Sets differ in at least as many shingles as their bins say, and those of short texts that have little in common in many."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(400):
+        size = (1, 6, 40, 300, 3000)[k % 5]
+        union = np.unique(rng.integers(0, 1 << 63, 2 * size, np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * size, np.uint64))
+        own = [np.sort(union[rng.random(len(union)) < share]) for share in (0.9, rng.random())]
+        rows.append((size, len(np.setxor1d(*own)), *map(neardup.bins, own)))
+    found = spark.createDataFrame(rows, "size int, differ int, a array<long>, b array<long>").select("size", "differ", neardup.least_differing(F.col("a"), F.col("b")).alias("least")).collect()
+    assert all(r.least <= r.differ for r in found)
+    short = [r for r in found if r["size"] <= 40]
+    assert sum(r.least for r in short) > 0.8 * sum(r.differ for r in short)
+
+
+def test_counts_of_shingles_put_common_ones_last(spark):
+    """The counters of all tasks are added up; of a common passage nothing is among the first of a set."""
+    common = " ".join(f"c{k}" for k in range(30))
+    texts = {k: f"{common} " + " ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)}
+    rows = spark.createDataFrame([*texts.items(), (99, None)], "at long, text string").repartition(3)
+    sets = neardup.shingle_sets(rows, 5)
+    counts = neardup.shingle_counts(sets)
+    all_counters = np.concatenate([neardup.counters(neardup.set_hashes(t)) for t in texts.values()])
+    assert (counts == np.rint(1500 * np.log2(1 + np.bincount(all_counters, minlength=neardup.COUNTERS))).astype(np.uint16)).all()
+    passage = {int(h) for h in neardup.set_hashes(common).view(np.int64)}
+    first = neardup.prefixes(rows, 5, 0.8, counts).collect()
+    assert {r.at for r in first} == {*texts, 99} and not any(passage & set(r["first"]) for r in first)
+    assert sets.where("at is not null").count() == 41
+
+
 def test_large_groups_of_almost_near_copies(spark, monkeypatch):
     """A crowd about one text: those near it are one group, those that are not near any make few pairs to verify."""
     rnd = random.Random(8)

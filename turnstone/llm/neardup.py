@@ -21,11 +21,11 @@ Components come from minimum labels with pointer jumping over links whose degree
 
 Near copies by similarity (``similarity`` given, as the pipeline does) lie many bits apart, so they are
 found another way: texts with the same set of shingles are one class; min-hashes of the sets place each class under
-keys, and classes that meet are verified by the similarity (Jaccard) of their own shingles.  Only components
-matter, so each class under a key is first compared with the least one there, and then only classes that are still in
-different components are.  Pairs whose sets can't be so similar, by one bit of the
-least hash of each part of the hashes' range, are discarded first (`alike`).  The classes of keys of over ``FEW``, where some are
-in different components, meet under their rare shingles instead (`crowd_pairs`): exactly, and what a large group has in common finds no pair of it.
+keys, and each class under a key is compared with the least one there, by the similarity (Jaccard) of their own shingles.
+That links most of what is similar, but keys can miss a pair.  Only components matter, so then all classes meet
+under the rare shingles of each (`prefixes`), by which no pair that is so similar is missed, and those that are still in different
+components are compared; what a large group has in common finds no pair of it.  There, pairs are discarded before their texts are
+read only if their sets surely differ in too many shingles (`least_differing`).
 """
 
 from __future__ import annotations
@@ -37,16 +37,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
 
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
-FEW = 64
+FEW = 64  # fingerprints of one key that are compared in pairs
 NEAR_SHINGLE, SIMILARITY = 5, 0.8  # words of a shingle and least similarity of near copies
-ROWS, BANDS = 4, 20  # min-hashes to a key, keys: two sets of similarity 0.8 miss all keys once in 40,000 times
-ORDERED = 20_000  # the most frequent shingles of a crowd, which come last in the order
+ROWS, BANDS = 4, 20  # min-hashes to a key, keys
+COUNTERS, COUNTER_BLOCKS = 1 << 18, 64  # counters of shingles by the first bits of their hashes, and parts that they are added up in
 BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
 BLOCK_PIVOTS, FREE_PIVOTS = 8, 16
 _RANDOM = random.Random(20240501)
@@ -179,35 +179,90 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
     return same >= similarity * either - DEVIATIONS * F.sqrt((1 - similarity**2) * either)
 
 
+def least_differing(a: Column, b: Column) -> Column:
+    """In so many shingles at least two sets of these `bins` differ: one in each part that is not the same."""
+    half = BINS // 64
+    differ = [F.bit_count(a[k].bitwiseXOR(b[k]).bitwiseOR(a[half + k].bitwiseXOR(b[half + k]))) for k in range(half)]
+    return sum(differ[1:], differ[0])
+
+
+def set_hashes(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """The hashes of a text's set of shingles, sorted."""
+    from xxhash import xxh64_intdigest
+
+    found = set(shingles(text, size))
+    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+
+
+def counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def set_keys(text: str | None, size: int = NEAR_SHINGLE) -> tuple[int, int, list[int], list[int]]:
     """A digest of a text's set of shingles, their number, the keys of its min-hashes, and its `bins`; without words none."""
+    return keys_of(set_hashes(text, size))
+
+
+def keys_of(hashes: np.ndarray) -> tuple[int, int, list[int], list[int]]:
     from xxhash import xxh64_intdigest
 
-    found = set(shingles(text, size))
-    if not found:
+    if not len(hashes):
         return 0, 0, [], [0] * (BINS // 32)
-    hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
     least = np.full(ROWS * BANDS, np.uint64((1 << 64) - 1))
     at_once = (1 << 18) // len(least)
     for at in range(0, len(hashes), at_once):
         least = np.minimum(least, (hashes[at : at + at_once, None] * _TIMES + _PLUS).min(axis=0))
     keys = [_SIGNED(xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(found), keys, bins(hashes)
+    return _SIGNED(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), keys, bins(hashes)
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """at, fp (the digest of the set), n (its size), keys, bins of rows of at and text."""
+    """at, fp (the digest of the set), n (its size), keys, bins of rows of at and text; and rows without at, for `shingle_counts`.
+
+    Those are the counters of the shingles of one task that aren't zero: a block of them (fp), and each one and its count, packed (keys).
+    """
     bound_batches(texts.sparkSession)
 
+    def rows(at, found) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays([at, *columns], names=["at", "fp", "n", "keys", "bins"])
+
     def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            found = [set_keys(t, size) for t in batch.column(1).to_pylist()]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "fp", "n", "keys", "bins"])
+            hashes = [set_hashes(t, size) for t in batch.column(1).to_pylist()]
+            if hashes:
+                counts += np.bincount(counters(np.concatenate(hashes)), minlength=COUNTERS)
+            yield rows(batch.column(0), [keys_of(h) for h in hashes])
+        blocks = [np.flatnonzero(own) + k * len(own) for k, own in enumerate(counts.reshape(COUNTER_BLOCKS, -1))]
+        found = [(k, 0, (at << 40 | counts[at]).tolist(), []) for k, at in enumerate(blocks) if len(at)]
+        yield rows(pa.nulls(len(found), pa.int64()), found)
 
     return texts.select("at", "text").mapInArrow(run, "at long, fp long, n int, keys array<long>, bins array<long>")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often, on a scale of logarithms, shingles of each counter stand in the sets; from the rows of `shingle_sets` without at.
+
+    Of fixed size, whatever the input: half a megabyte.
+    """
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = known.setdefault(block, np.zeros(COUNTERS // COUNTER_BLOCKS, np.int64))
+                values = packed.values.to_numpy(zero_copy_only=False)
+                own[(values >> 40) - block * len(own)] += values & (1 << 40) - 1
+        logs = [np.rint(1500 * np.log2(1 + own)).astype(np.uint16).tobytes() for own in known.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int64()), pa.array(logs, pa.binary())], names=["block", "logs"])
+
+    out = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), np.uint16)
+    for r in sets.where("at is null").select("fp", "keys").repartition(COUNTER_BLOCKS, "fp").mapInArrow(run, "block long, logs binary").collect():
+        out[r.block] = np.frombuffer(r.logs, np.uint16)
+    return out.reshape(-1)
+
+
 def frequent(rows: DataFrame, key: str, total: int) -> list:
     """The values of a column that stand in over HOT_SHARE of the rows, of which there are ``total``; none that one task takes easily."""
     most = max(EASY, HOT_SHARE * total)
@@ -242,94 +297,77 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return keep(dealt.mapInArrow(run, "a long, b long"), "set-links")
 
 
-def crowd_prefixes(crowd: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """at, n, first: the `prefixes` of the sets of a crowd (at).
+def prefixes(texts: DataFrame, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """at, n (size), first: so many hashes of each text's set, the frequent ones last, that two sets of this similarity share one of them.
 
-    The hashes are in one order, the frequent ones of the crowd last, so what all of a large group share comes late.
+    The order is the same for all texts.  Any order of all hashes is right; that by ``counts`` leaves few sets to a hash.
     """
-    dealt = texts.join(crowd, "at", "left_semi").repartition(min(MOST_TASKS, -(-crowd.count() // TEXTS_A_TASK)))
-    held = keep(hashed_sets(dealt, size), "crowd-sets")
-    counts = held.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW)
-    return keep(prefixes(held, {r.h: r.c for r in counts.orderBy(F.desc("c"), "h").limit(ORDERED).collect()}, similarity), "crowd-prefixes")
-
-
-def crowd_pairs(first: DataFrame, labels: DataFrame, similarity: float, star: bool) -> DataFrame:
-    """a, b: pairs of different labels that can be so similar, of `crowd_prefixes` and labels (at, label).
-
-    Two sets that are so similar share a hash among the first of each, and from the first hash that they share on
-    either set has as many as they have in common, or more.  All such pairs are found; with ``star`` only those with the set
-    of each hash that has the fewest before it.
-    """
-    rows = first.join(labels, "at").select("at", "n", "label", F.posexplode("first").alias("pos", "h"))
-    of_label = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min(F.struct("pos", "at", "n", "label")).alias("b"))
-    shared = of_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.min("n").alias("least"), F.min("b").alias("b"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rows = rows.join(shared.select("h", F.col("top.label").alias("top"), "least", *([F.col("b")] if star else [])), "h")
-    needed = lambda a, b: F.ceil((a + b) * F.lit(similarity / (1 + similarity)) - 1e-6)  # noqa: E731  shingles in common
-    a = rows.select("h", *(F.col(c).alias(f"a_{c}") for c in ("at", "n", "pos", "label")), "top", "least", *([F.col(f"b.{c}").alias(f"b_{c}") for c in ("at", "n", "pos", "label")] if star else []))
-    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= needed(F.col("a_n"), F.col("b_n"))
-    if star:
-        found = a.where((F.col("a_label") != F.col("b_label")) & enough)
-    else:
-        a = a.where((F.col("a_label") != F.col("top")) & (F.col("a_n") - F.col("a_pos") >= needed(F.col("a_n"), F.greatest("least", F.col("a_n") * F.lit(similarity)))))
-        b = rows.select("h", *(F.col(c).alias(f"b_{c}") for c in ("at", "n", "pos", "label")))
-        once = (F.col("b_label") == F.col("top")) | (F.col("a_at") < F.col("b_at"))
-        found = a.join(b, "h").where((F.col("a_label") != F.col("b_label")) & once & enough)
-    return keep(found.select(F.least("a_at", "b_at").alias("a"), F.greatest("a_at", "b_at").alias("b")).distinct(), "crowd-pairs")
-
-
-def hashed_sets(rows: DataFrame, size: int) -> DataFrame:
-    """at, hashes (of the set of shingles) of rows of at and text."""
-    from xxhash import xxh64_intdigest
-
-    bound_batches(rows.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            found = [list({_SIGNED(xxh64_intdigest(s, SEED)) for s in set(shingles(t, size))}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["at", "hashes"])
-
-    return rows.mapInArrow(run, "at long, hashes array<long>")
-
-
-def prefixes(sets: DataFrame, counts: dict[int, int], similarity: float) -> DataFrame:
-    """at, n, first: so many of a set's hashes, the frequent ones last, that two sets of this similarity share one of them.
-
-    Any order of all hashes is right; that by ``counts`` leaves few sets to a hash.
-    """
-    known = np.array(sorted(counts) or [0], np.int64)
-    times = np.array([counts.get(int(h), 0) for h in known], np.int64)
+    bound_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
             firsts, sizes = [], []
-            for hashes in batch.column(1).to_pylist():
-                h = np.array(hashes, np.int64)
-                slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                order = np.lexsort((h, np.where(known[slot] == h, times[slot], 0)))
+            for text in batch.column(1).to_pylist():
+                h = set_hashes(text, size)
+                order = np.lexsort((h, counts[counters(h)]))
                 sizes.append(len(h))
-                firsts.append(h[order][: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].tolist())
+                firsts.append(h[order][: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64).tolist())
             columns = [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["at", "n", "first"])
 
-    return sets.mapInArrow(run, "at long, n int, first array<long>")
+    return texts.select("at", "text").mapInArrow(run, "at long, n int, first array<long>")
 
 
-def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def enough(similarity: float, a: Column, b: Column) -> Column:
+    """If the sets of two rows of the same hash (n, pos) can be so similar, should it be the first that they share: from there on
+    either set has as many as they have in common, or more.
+    """
+    needed = F.ceil((a["n"] + b["n"]) * F.lit(similarity / (1 + similarity)) - 1e-6)
+    return F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= needed
+
+
+def shared_prefixes(first: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, at, pos, n, label, least of the `prefixes` of the sets that labels (at, label, n) has, of hashes that stand in sets of several labels.
+
+    ``least`` is the row of the hash that has the fewest before it.  Most hashes stand in one set and go after one shuffle of little.
+    """
+    of_hash = Window.partitionBy("h")
+    rows = first.select("at", F.posexplode("first").alias("pos", "h")).withColumn("lo", F.min("at").over(of_hash)).withColumn("hi", F.max("at").over(of_hash))
+    rows = rows.where("lo <> hi").select("h", "at", "pos").join(labels, "at")
+    rows = rows.withColumn("lo", F.min("label").over(of_hash)).withColumn("hi", F.max("label").over(of_hash)).withColumn("least", F.min(F.struct("pos", "at", "n", "label")).over(of_hash))
+    return rows.where("lo <> hi").select("h", "at", "pos", "n", "label", "least")
+
+
+def prefix_pairs(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of different labels (at, label) that can be so similar, of `shared_prefixes`."""
+    of_hash = Window.partitionBy("h")
+    rows = rows.select("h", "at", "pos", "n").join(labels, "at").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h", "label")))
+    rows = rows.withColumn("lo", F.min("label").over(of_hash)).withColumn("hi", F.max("label").over(of_hash))
+    rows = rows.withColumn("top", F.max(F.struct("c", "label")).over(of_hash)["label"]).where("lo <> hi")  # the sets of a hash's largest label don't meet each other
+    rows = keep(rows.select("h", F.struct("at", "pos", "n", "label").alias("a"), "top"), "prefix-rows")
+    a, b = F.col("a"), F.col("b")
+    once = (b["label"] == F.col("top")) | (a["at"] < b["at"])
+    found = rows.where(a["label"] != F.col("top")).join(rows.select("h", F.col("a").alias("b")), "h").where((a["label"] != b["label"]) & once & enough(similarity, a, b))
+    return found.select(F.least("a.at", "b.at").alias("a"), F.greatest("a.at", "b.at").alias("b")).distinct()
+
+
+def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: float, counts: np.ndarray | None = None) -> DataFrame:
     """v, root: the component of each set that is as similar at least to another one.
 
-    ``sets`` has at, n, keys and bins of one row for each set, ``texts`` at and text.  Pairs whose bins rule the
-    similarity out are discarded before any text is read.
+    ``sets`` has at, n, keys and bins of one row for each set, ``texts`` at and text, ``counts`` the `shingle_counts`, if
+    they are known: the result does not depend on them.  Pairs whose bins rule the similarity out are discarded before any text is read.
     """
-    known = sets.select("at", "bins")
+    known = sets.select("at", F.struct("n", "bins").alias("own"))
     links, labels = None, None
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
-    def add(pairs: DataFrame) -> None:
-        """Link the pairs (kept, each once) that are so similar, by their bins and then by their texts."""
+    def add(pairs: DataFrame, sure: bool) -> None:
+        """Link the pairs (kept, each once) that are so similar, by their bins and then by their texts; all of them if ``sure``."""
         nonlocal links, labels
         many = frequent(pairs.select("a"), "a", pairs.count())  # a set has many pairs: these are more than the sets
-        pairs = join_hot(pairs.join(known.select(F.col("at").alias("b"), F.col("bins").alias("b_bins")), "b"), known.select(F.col("at").alias("a"), F.col("bins").alias("a_bins")), "a", many, "inner")
-        found = verified(pairs.where(alike(F.col("a_bins"), F.col("b_bins"), similarity)).select("a", "b"), texts, size, similarity)
+        pairs = join_hot(pairs.join(known.select(F.col("at").alias("b"), F.col("own").alias("b_own")), "b"), known.select(F.col("at").alias("a"), F.col("own").alias("a_own")), "a", many, "inner")
+        few = least_differing(F.col("a_own.bins"), F.col("b_own.bins")) <= (F.col("a_own.n") + F.col("b_own.n")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+        found = verified(pairs.where(few if sure else few & alike(F.col("a_own.bins"), F.col("b_own.bins"), similarity)).select("a", "b"), texts, size, similarity)
         if links is None or found.head(1):
             links = found if links is None else links.unionByName(found)
             labels = components(links).withColumnRenamed("v", "at")
@@ -352,20 +390,16 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
     hot = [r.key for r in buckets.where(F.col("m") > most).collect()]
     members = keep(join_hot(rows, buckets, "key", hot, "inner"), "set-members")
     # of a group of near copies most are linked by one pair of each, under its fullest key; then by all first pairs across components
-    add(keep(star(members.where(F.col("at") != F.col("least.at"))).groupBy("b").agg(F.max_by("a", F.struct("m", "key")).alias("a")).select("a", "b"), "set-stars"))
-    members = mixed(members)
-    add(keep(star(members.where(F.col("label") != F.col("least.label"))).select("a", "b").distinct(), "set-stars"))
+    add(keep(star(members.where(F.col("at") != F.col("least.at"))).groupBy("b").agg(F.max_by("a", F.struct("m", "key")).alias("a")).select("a", "b"), "set-stars"), False)
     members = mixed(members)
-    few = F.col("m") <= FEW
-    row = F.struct("at", "n", "label", "bins")
-    together = members.where(few).join(known, "at").groupBy("key").agg(F.collect_list(row).alias("l"))  # at most FEW of them
-    pairs = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: (b["at"] > a["at"]) & (b["label"] != a["label"]) & near(a["n"], b["n"]) & alike(a["bins"], b["bins"], similarity)), lambda b: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
-    add(keep(together.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "set-pairs"))
-    crowd = keep(members.where(~few).select("at").distinct(), "set-crowd")
-    if crowd.head(1):
-        first = crowd_prefixes(crowd, texts, size, similarity)
-        for only_star in (True, False):
-            add(crowd_pairs(first, named(crowd), similarity, only_star))
+    add(keep(star(members.where(F.col("label") != F.col("least.label"))).select("a", "b").distinct(), "set-stars"), False)
+    # the keys can have missed a pair: all sets once more, by their rare shingles, that miss none
+    first = keep(prefixes(texts, size, similarity, np.zeros(COUNTERS, np.uint16) if counts is None else counts), "set-prefixes")
+    shared = keep(shared_prefixes(first, named(sets.select("at", "n"))), "set-shared")
+    a, b = F.struct("at", "pos", "n", "label"), F.col("least")
+    star_pairs = shared.where((F.col("label") != b["label"]) & enough(similarity, a, b))
+    add(keep(star_pairs.select(F.least("at", "least.at").alias("a"), F.greatest("at", "least.at").alias("b")).distinct(), "prefix-stars"), True)
+    add(keep(prefix_pairs(shared, named(sets.select("at")), similarity), "prefix-pairs"), True)
     return labels.withColumnRenamed("at", "v")
 
 
@@ -428,6 +462,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         rows = keep(fingerprints(texts, "at", "text", size).withColumnRenamed("doc_id", "at"), "fingerprints")
     else:
         sets = keep(shingle_sets(texts, size), "shingle-sets")
+        counts, sets = shingle_counts(sets), sets.where("at is not null")
         rows = sets.select("at", "fp")
     classes = keep(rows.join(order, "at").groupBy("fp").agg(F.min("order").alias("first"), F.min("at").alias("at")), "classes")
     if similarity is None:
@@ -435,7 +470,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         placed = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     else:
         once = sets.join(classes.select("at"), "at", "left_semi")
-        roots = similar_roots(keep(once.select("at", "n", "keys", "bins"), "set-classes"), texts, size, similarity).withColumnRenamed("v", "at")
+        roots = similar_roots(keep(once.select("at", "n", "keys", "bins"), "set-classes"), texts, size, similarity, counts).withColumnRenamed("v", "at")
         placed = classes.join(roots, "at", "left").select("first", F.coalesce("root", "at").alias("root"))
     stay = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
     go = keep(rows.select("at").join(stay, "at", "left_anti"), "rows-to-go", rows.count())  # fewer than those that stay
