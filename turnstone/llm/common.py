@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +41,16 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what the driver no longer needs, in a long row of jobs: its garbage holds memory, and keeps Spark from deleting
+    shuffle files and broadcasts of jobs whose results were kept.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of this session holds, in rows and in bytes; for good, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep
+from turnstone.llm.common import HOT_SHARE, bound_batches, join_hot, keep, release
 
 SHINGLE, SEED, RADIUS = 3, 42, 2  # fixed values: words of a shingle, seed of XXH64, differing bits that link
 FEW = 64  # fingerprints of one key that are compared in pairs
@@ -371,6 +371,7 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
         if links is None or found.head(1):
             links = found if links is None else links.unionByName(found)
             labels = components(links).withColumnRenamed("v", "at")
+        release(texts.sparkSession)
 
     def named(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "at", "left").withColumn("label", F.coalesce("root", "at")).drop("root")
@@ -384,6 +385,7 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
     def star(rows: DataFrame) -> DataFrame:
         return rows.where(near(F.col("n"), F.col("least.n"))).select(F.col("least.at").alias("a"), F.col("at").alias("b"), "m", "key")
 
+    release(texts.sparkSession)
     rows = sets.select("at", "n", F.explode("keys").alias("key"))
     buckets = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "n")).alias("least")).where("m > 1"), "set-buckets")
     most = max(EASY, HOT_SHARE * BANDS * sets.count())
@@ -396,6 +398,7 @@ def similar_roots(sets: DataFrame, texts: DataFrame, size: int, similarity: floa
     # the keys can have missed a pair: all sets once more, by their rare shingles, that miss none
     first = keep(prefixes(texts, size, similarity, np.zeros(COUNTERS, np.uint16) if counts is None else counts), "set-prefixes")
     shared = keep(shared_prefixes(first, named(sets.select("at", "n"))), "set-shared")
+    release(texts.sparkSession)
     a, b = F.struct("at", "pos", "n", "label"), F.col("least")
     star_pairs = shared.where((F.col("label") != b["label"]) & enough(similarity, a, b))
     add(keep(star_pairs.select(F.least("at", "least.at").alias("a"), F.greatest("at", "least.at").alias("b")).distinct(), "prefix-stars"), True)
